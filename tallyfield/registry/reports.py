@@ -327,7 +327,7 @@ def q_phase_rates(spark, folder):
 
 @query(
     "q_form_trend",
-    f"""WITH {OUTINGS_SQL} SELECT event_id, entity, value, number, CAST(s AS DOUBLE) / n AS rolling_mean FROM (
+    f"""WITH {OUTINGS_SQL} SELECT event_id, entity, CAST(value AS DOUBLE) AS value, number, CAST(s AS DOUBLE) / n AS rolling_mean FROM (
           SELECT *, row_number() OVER w AS number, sum(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s,
             count(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n
           FROM outings WHERE entity = 7 WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id))""",
@@ -335,7 +335,7 @@ def q_phase_rates(spark, folder):
 def q_form_trend(spark, folder):
     position = F.col("ts").cast("timestamp").cast("double")
     trend = reports.form_trend(outings(spark, folder), "entity", 7, ["ts", "event_id"], position, "value")
-    return trend.select("event_id", "entity", "value", "number", "rolling_mean")
+    return trend.select("event_id", "entity", F.col("value").cast("double").alias("value"), "number", "rolling_mean")
 
 
 @query(

@@ -7,7 +7,7 @@ other pages go on.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,25 +75,24 @@ def links(df: DataFrame, html: str, site: str, keep: Sequence[str]) -> DataFrame
     return exploded.select(*keep, "ingest_seq", F.concat(F.lit(site), "_target").alias("link"))
 
 
+def _result_rows(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
+    """Cells of the full rows of the results table, with their position."""
+    rows = F.flatten(F.transform(tables_of_class(F.col(html), RESULTS_TABLE), lambda t: body_rows(t, RESULTS_ROW)))
+    cells = F.transform(
+        rows, lambda row, i: F.struct(i.cast("long").alias("ingest_seq"), row_cells(row).alias("_cells"))
+    )
+    return df.select(*keep, F.inline(F.filter(cells, lambda r: F.size(r["_cells"]) >= len(RESULT_CELLS))))
+
+
 def contest_links(df: DataFrame, html: str, site: str, keep: Sequence[str], cell: int = 6) -> DataFrame:
     """Score page addresses from the results table: the link in the seventh cell of each row."""
-    rows = F.transform(
-        F.flatten(F.transform(tables_of_class(F.col(html), RESULTS_TABLE), lambda t: body_rows(t, RESULTS_ROW))),
-        row_cells,
-    )
-    exploded = df.select(*keep, F.posexplode(rows).alias("ingest_seq", "_cells"))
-    target = link_target(F.get("_cells", F.lit(cell)))
-    return exploded.where(F.length(target) > 0).select(*keep, "ingest_seq", F.concat(F.lit(site), target).alias("link"))
+    found = _result_rows(df, html, keep).withColumn("_target", link_target(F.get("_cells", F.lit(cell))))
+    return found.where(F.length("_target") > 0).select(*keep, "ingest_seq", F.concat(F.lit(site), "_target").alias("link"))
 
 
 def result_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """Rows of the results table as seven text fields."""
-    rows = F.transform(
-        F.flatten(F.transform(tables_of_class(F.col(html), RESULTS_TABLE), lambda t: body_rows(t, RESULTS_ROW))),
-        row_cells,
-    )
-    exploded = df.select(*keep, F.posexplode(rows).alias("ingest_seq", "_cells")).where(F.size("_cells") >= 7)
-    return exploded.select(*keep, "ingest_seq", *_fields(RESULT_CELLS))
+    return _result_rows(df, html, keep).select(*keep, "ingest_seq", *_fields(RESULT_CELLS))
 
 
 def _fields(cells: Mapping[str, int]) -> list[Column]:
@@ -121,21 +120,28 @@ def _checked(df: DataFrame, html: str, keep: Sequence[str], table_class: str, mi
 def _score_rows(page: DataFrame, keep: Sequence[str], pick: Sequence[tuple[int, int]], cells: int) -> DataFrame:
     """Rows of the chosen tables, each with the side it belongs to.
 
-    ``pick`` lists (table number, side number) pairs. Positions count through the page, so the order of records
-    survives the explode.
+    ``pick`` lists (table number, side number) pairs. ``ingest_seq`` counts through the page, so the order of
+    records survives. Bad pages and short rows are left out inside the arrays: a filter above them would be pushed
+    down and evaluate every pattern a second time.
     """
-    innings = F.array(
-        *[
-            F.struct(F.lit(n).alias("innings"), F.get("_sides", F.lit(side)).alias("side"),
-                     body_rows(F.get("_tables", F.lit(table))).alias("rows"))
-            for n, (table, side) in enumerate(pick)
-        ]
-    )
+
+    def placed(innings: int) -> Callable[[Column, Column], Column]:
+        start = F.lit(innings * 1_000_000)
+        return lambda row, i: F.struct((start + i).cast("long").alias("ingest_seq"), row_cells(row).alias("_cells"))
+
+    innings = [
+        F.struct(
+            F.get("_sides", F.lit(side)).alias("side"),
+            F.filter(
+                F.transform(body_rows(F.get("_tables", F.lit(table))), placed(n)), lambda r: F.size(r["_cells"]) >= cells
+            ).alias("rows"),
+        )
+        for n, (table, side) in enumerate(pick)
+    ]
     title = F.concat_ws(" Vs ", F.get("_sides", F.lit(0)), F.get("_sides", F.lit(1)))
-    tables = page.where(F.col("parse_error").isNull()).select(*keep, title.alias("match"), F.inline(innings))
-    rows = tables.select(*keep, "match", "innings", "side", F.posexplode("rows").alias("_pos", "_row"))
-    split = rows.withColumn("_cells", row_cells(F.col("_row"))).where(F.size("_cells") >= cells)
-    return split.withColumn("ingest_seq", (F.col("innings") * F.lit(1_000_000) + F.col("_pos")).cast("long"))
+    usable = F.when(F.col("parse_error").isNull(), F.array(*innings))
+    tables = page.select(*keep, title.alias("match"), F.inline(usable))
+    return tables.select(*keep, "match", "side", F.inline("rows"))
 
 
 def batting_pages(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
