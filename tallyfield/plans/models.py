@@ -121,12 +121,23 @@ def _scaling_stage(stats: dict[str, tuple[float, float]]) -> SQLTransformer:
 # --- classifiers -----------------------------------------------------------------------------------------
 
 
+def _spread(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Needed columns only, in at least as many partitions as there are cores.
+
+    Fitting passes over the rows a hundred times and more, so a stored table in a few files is spread once.
+    """
+    slim = train.select(*columns)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return slim if slim.rdd.getNumPartitions() >= cores else slim.repartition(cores)
+
+
 def fit_linear(train: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL) -> PipelineModel:
     """Scaling, assembly and a ridge-penalised logistic regression.
 
     Spark averages the loss over the rows while the usual ``C`` weighs its sum, hence ``1 / (C * rows)``. The
     features are already scaled, so Spark's own sample-deviation scaling is off.
     """
+    train = _spread(train, [*features, label])
     stats = scaling(train, features)
     rows = train.count()
     scaler = _scaling_stage(stats)
@@ -143,6 +154,7 @@ def fit_trees(
     train: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, trees: int = TREE_COUNT
 ) -> PipelineModel:
     enable_checkpoints(train.sparkSession)
+    train = _spread(train, [*features, label])
     assembler = VectorAssembler(inputCols=list(features), outputCol=VECTOR)
     classifier = GBTClassifier(
         featuresCol=VECTOR, labelCol=label, maxIter=trees, maxDepth=TREE_DEPTH, stepSize=TREE_STEP, seed=SEED

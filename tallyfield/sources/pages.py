@@ -185,15 +185,39 @@ def rejected_pages(checked: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def player_links(df: DataFrame, html: str, site: str) -> DataFrame:
-    """Distinct (name, team, link) over the batting and the bowling tables."""
-    batting = _score_rows(batting_pages(df, html, []), [], [(0, 0), (1, 1)], 8)
-    bowling = _score_rows(bowling_pages(df, html, []), [], [(1, 1), (3, 0)], 11)
-    found = [
-        rows.select(_player(nested).alias("name"), F.col("side").alias("team"),
-                    link_target(F.get("_cells", F.lit(0))).alias("_target"))
-        for rows, nested in ((batting, True), (bowling, False))
-    ]
-    both = found[0].unionByName(found[1]).where("name IS NOT NULL AND length(_target) > 0")
+    """Distinct (name, team, link) over the batting and the bowling tables; each page is read once for both."""
+    source = F.col(html)
+    page = df.select(
+        _sides(source).alias("_sides"),
+        tables_of_class(source, BATTING_TABLE).alias("_batting"),
+        tables_of_class(source, BOWLING_TABLE).alias("_bowling"),
+    )
+
+    def first_cells(tables: str, table: int, side: int, nested: bool, cells: int) -> Column:
+        rows = F.transform(body_rows(F.get(tables, F.lit(table))), row_cells)
+        full = F.filter(rows, lambda r: F.size(r) >= cells)
+        team = F.get("_sides", F.lit(side))
+        return F.transform(
+            full, lambda r: F.struct(team.alias("team"), F.lit(nested).alias("nested"), F.slice(r, 1, 1).alias("_cells"))
+        )
+
+    two_sides = F.size("_sides") >= 2
+    batting = F.when(
+        two_sides & (F.size("_batting") >= 2),
+        F.concat(first_cells("_batting", 0, 0, True, 8), first_cells("_batting", 1, 1, True, 8)),
+    )
+    bowling = F.when(
+        two_sides & (F.size("_bowling") >= 4),
+        F.concat(first_cells("_bowling", 1, 1, False, 11), first_cells("_bowling", 3, 0, False, 11)),
+    )
+    none = F.array().cast("array<struct<team:string,nested:boolean,_cells:array<string>>>")
+    rows = page.select(F.inline(F.concat(F.coalesce(batting, none), F.coalesce(bowling, none))))
+    found = rows.select(
+        F.when(F.col("nested"), _player(True)).otherwise(_player(False)).alias("name"),
+        "team",
+        link_target(F.get("_cells", F.lit(0))).alias("_target"),
+    )
+    both = found.where("name IS NOT NULL AND length(_target) > 0")
     return both.select("name", "team", F.concat(F.lit(site), "_target").alias("link")).distinct()
 
 
