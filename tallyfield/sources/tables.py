@@ -98,7 +98,8 @@ def require_inputs(spark: SparkSession, paths: Sequence[str]) -> None:
 
 
 def write_delimited(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**exact).csv(path)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
