@@ -25,9 +25,13 @@ ENTITIES = (
 )
 
 
+# Every character that counts as white space; all of them lie below U+3001.
+WHITE_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+
+
 def strip(text: Column) -> Column:
-    """Remove Unicode white space at both ends; Spark's ``trim`` leaves the no-break space in place."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Remove Unicode white space at both ends; Spark's plain ``trim`` knows the ordinary space only."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def scrub(text: Column, residue: Sequence[str] = NAME_RESIDUE) -> Column:

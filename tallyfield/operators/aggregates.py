@@ -47,8 +47,10 @@ def value_counts(df: DataFrame, column: str, into: str = "rows") -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias(into))
 
 
-def mean_and_spread(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Mean and population standard deviation per key.
+def mean_and_spread(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], count: str | None = None
+) -> DataFrame:
+    """Mean and population standard deviation per key, and the number of rows if ``count`` names a column for it.
 
     Whole numbers are added up exactly, so the result does not depend on the order of the partial sums.
     """
@@ -63,6 +65,8 @@ def mean_and_spread(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -
             outputs += [mean.alias(f"{name}_mean"), F.sqrt(variance).alias(f"{name}_std")]
         else:
             outputs += [F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std")]
+    if count:
+        outputs.append(F.count(F.lit(1)).alias(count))
     return df.groupBy(*keys).agg(*outputs)
 
 

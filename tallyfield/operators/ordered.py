@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 CHUNK = "_chunk"
 MAX_GROUP_ROWS = 4_000_000
 MAX_CHUNKS = 10_000
+MAX_BROADCAST_GROUPS = 50_000
 
 _LOWEST = -1.7e308
 
@@ -26,21 +27,37 @@ def cut_long_groups(
 ) -> DataFrame:
     """Add a chunk column if some group is longer than ``max_rows``; return ``df`` as it is otherwise.
 
-    ``position`` is a number that never decreases along the order the caller is going to use. Chunk borders are
-    quantiles of it over all rows, so no chunk holds much more than its share however the keys are spread.
-    The check reads the key columns only and combines counts before the shuffle.
+    ``position`` is a number that never decreases along the order the caller is going to use. Borders are
+    quantiles of it over the long groups, so no chunk of a long group holds much more than ``max_rows`` rows.
+    Short groups stay whole in chunk 0. The check reads the key columns only and combines counts before the
+    shuffle.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    longest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if longest is None or longest <= max_rows:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    long = F.col("_rows") > max_rows
+    found = sizes.agg(F.count_if(long).alias("groups"), F.sum(F.when(long, F.col("_rows"))).alias("rows")).first()
+    if not found["groups"]:
         return df
-    count = min(-(-total // max_rows), MAX_CHUNKS)
-    placed = df.withColumn("_position", F.coalesce(position.cast("double"), F.lit(_LOWEST)))
+    marked = _mark_long(df, keys, sizes.where(long), found["groups"])
+    placed = marked.withColumn("_position", F.coalesce(position.cast("double"), F.lit(_LOWEST)))
+    count = min(-(-found["rows"] // max_rows), MAX_CHUNKS)
     shares = [i / count for i in range(1, count)]
-    borders = sorted(set(placed.approxQuantile("_position", shares, 0.25 / count)))
+    borders = sorted(set(placed.where("_long").approxQuantile("_position", shares, 0.25 / count)))
     splits = [float("-inf"), *borders, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_position", outputCol=CHUNK).transform(placed)
-    return cut.withColumn(CHUNK, F.col(CHUNK).cast("int")).drop("_position")
+    cut = Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket").transform(placed)
+    chunk = F.when(F.col("_long"), F.col("_bucket").cast("int")).otherwise(0)
+    return cut.select(*df.columns, chunk.alias(CHUNK))
+
+
+def _mark_long(df: DataFrame, keys: Sequence[str], long: DataFrame, groups: int) -> DataFrame:
+    """Flag the rows of long groups. There are at most (all rows / max_rows) such groups; the list is broadcast
+    only while it is known to be short."""
+    if not keys:
+        return df.withColumn("_long", F.lit(True))
+    names = [f"_long_{i}" for i in range(len(keys))]
+    listed = long.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(True).alias("_long"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    hinted = F.broadcast(listed) if groups <= MAX_BROADCAST_GROUPS else listed
+    return df.join(hinted, same, "left").drop(*names).withColumn("_long", F.coalesce("_long", F.lit(False)))
 
 
 def _group(df: DataFrame, keys: Sequence[str]) -> list[str]:

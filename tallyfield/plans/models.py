@@ -90,8 +90,13 @@ def fold_rows(df: DataFrame, folds: Sequence[Fold], keep: Sequence[str], seq: st
 
 def scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """(mean, population deviation) per column in one pass; a constant column gets deviation 1."""
-    row = aggregates.mean_and_spread(df, [], columns).first()
-    return {name: (row[f"{name}_mean"], row[f"{name}_std"] or 1.0) for name in columns}
+    return _scaling_and_rows(df, columns)[0]
+
+
+def _scaling_and_rows(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, tuple[float, float]], int]:
+    row = aggregates.mean_and_spread(df, [], columns, count="rows").first()
+    stats = {name: (row[f"{name}_mean"], row[f"{name}_std"] or 1.0) for name in columns}
+    return stats, row["rows"]
 
 
 def scaled(value: Column, mean: Column | float, deviation: Column | float) -> Column:
@@ -138,8 +143,7 @@ def fit_linear(train: DataFrame, features: Sequence[str] = FEATURES, label: str
     features are already scaled, so Spark's own sample-deviation scaling is off.
     """
     train = _spread(train, [*features, label])
-    stats = scaling(train, features)
-    rows = train.count()
+    stats, rows = _scaling_and_rows(train, features)
     scaler = _scaling_stage(stats)
     assembler = VectorAssembler(inputCols=[f"{n}_scaled" for n in features], outputCol=VECTOR)
     classifier = LogisticRegression(

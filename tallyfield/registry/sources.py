@@ -145,7 +145,9 @@ def score_pages(spark, folder):
 
         first, second = F.concat(F.lit("Side "), who.cast("string")), priority
         page = F.format_string(_PAGE, heading, *innings(first, "B"), *innings(second, "C"))
-        return orders.select("o_orderkey", page.alias("html"))
+        # Reading pages is work for the processor, so the stored pages are spread over all cores.
+        pages_per_core = orders.repartition(spark.sparkContext.defaultParallelism)
+        return pages_per_core.select("o_orderkey", page.alias("html"))
 
     return stored(spark, folder, "score-pages", build)
 

@@ -29,8 +29,12 @@ def position():
 def test_cut_only_when_needed(series, keys, most):
     assert ordered.cut_long_groups(series, keys, position(), 10_000) is series
     cut = ordered.cut_long_groups(series, keys, position(), most)
-    sizes = [r["count"] for r in cut.groupBy(ordered.CHUNK).count().collect()]
-    assert len(sizes) > 1 and sum(sizes) == 3000 and max(sizes) < 3 * most
+    assert cut.count() == 3000
+    sizes = [r["count"] for r in cut.groupBy(*keys, ordered.CHUNK).count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2 * most
+    if keys:
+        short = cut.where("k = 'k3'").select(ordered.CHUNK).distinct().collect()
+        assert [r[0] for r in short] == [0] or most == 40
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
