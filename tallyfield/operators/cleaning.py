@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ def drop_repeats(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], choose) -> DataFrame:
+def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], choose: Callable[[Column], Column]) -> DataFrame:
     rest = [name for name in df.columns if name not in keys and name not in order]
     row = F.struct(*order, *rest)
     picked = df.groupBy(*keys).agg(choose(row).alias("_row"))
@@ -41,7 +41,7 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return _pick(df, keys, order, F.max)
 
 
-def map_columns(df: DataFrame, columns: Sequence[str], change) -> DataFrame:
+def map_columns(df: DataFrame, columns: Sequence[str], change: Callable[[Column], Column]) -> DataFrame:
     """Apply ``change(column)`` to those of ``columns`` that exist."""
     return df.withColumns({name: change(F.col(f"`{name}`")) for name in present(df, columns)})
 
@@ -91,12 +91,3 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def equal_to(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(F.col(column) == F.lit(value))
-
-
-def typed(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
-    """Apply the declared type of each column that exists."""
-    return df.withColumns({name: F.col(f"`{name}`").cast(kind) for name, kind in casts.items() if name in df.columns})
-
-
-def expressions(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
-    return df.withColumns(dict(columns))

@@ -48,6 +48,12 @@ def cut_long_groups(
     return cut.select(*df.columns, chunk.alias(CHUNK))
 
 
+def clock_position(ts: Column) -> Column:
+    """Days since 1970 with the time of day as a fraction, for timestamps with or without a time zone."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return F.unix_date(ts.cast("date")) + seconds / F.lit(86400.0)
+
+
 def _mark_long(df: DataFrame, keys: Sequence[str], long: DataFrame, groups: int) -> DataFrame:
     """Flag the rows of long groups. There are at most (all rows / max_rows) such groups; the list is broadcast
     only while it is known to be short."""

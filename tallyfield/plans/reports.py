@@ -78,11 +78,12 @@ def phase_rates(balls: DataFrame, team: str, over: Column, runs: str, wicket: Co
 
 
 def form_trend(
-    outings: DataFrame, entity: str, who, order: Sequence[str], position: Column, value: str, length: int = 5,
-    max_rows: int = ordered.MAX_GROUP_ROWS,
+    outings: DataFrame, entity: str, order: Sequence[str], position: Column, value: str, length: int = 5,
+    who=None, max_rows: int = ordered.MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """One entity's outings in order, numbered, with the mean of the last five including the current one."""
-    own = outings.where(F.col(entity) == F.lit(who))
+    """Outings of every entity, or of ``who`` alone, in order: their number and the mean of the last five including
+    the current one."""
+    own = outings if who is None else outings.where(F.col(entity) == F.lit(who))
     numbered = ordered.number_rows(
         ordered.cut_long_groups(own, [entity], position, max_rows), [entity], [F.col(c) for c in order], "number"
     )

@@ -13,8 +13,7 @@ FORM_SQL = """CAST(sum({won}) OVER {w} AS DOUBLE) / nullif(count({won}) OVER {w}
 
 
 def _series(spark, folder):
-    position = F.unix_micros(F.col("ts").cast("timestamp"))
-    return ordered.cut_long_groups(outings(spark, folder), ["entity"], position)
+    return ordered.cut_long_groups(outings(spark, folder), ["entity"], ordered.clock_position(F.col("ts")))
 
 
 @query(

@@ -103,6 +103,22 @@ def pair_key_bridge(spark, folder):
     return keys.pair_key_bridge(contests(spark, folder), "side1", "side2", "contest_id", ["contest_date"])
 
 
+@query(
+    "match_key_lookup",
+    f"""WITH {CONTESTS_SQL}, last AS (
+          SELECT least(side1, side2) AS low, greatest(side1, side2) AS high,
+                 arg_max(contest_id, (contest_date, contest_id)) AS match_id FROM contests GROUP BY 1, 2)
+        SELECT c.contest_id, concat(side2, ' Vs ', side1) AS match, match_id FROM contests c
+        JOIN last ON least(side1, side2) = low AND greatest(side1, side2) = high""",
+)
+def match_key_lookup(spark, folder):
+    """Score records that name their contest by text only get its key."""
+    games = contest_table(spark, folder)
+    bridge = keys.pair_key_bridge(games, "side1", "side2", "contest_id", ["contest_date"])
+    scores = games.select("contest_id", F.concat_ws(" Vs ", "side2", "side1").alias("match"))
+    return records.add_match_key(scores, bridge.withColumnRenamed("contest_id", "match_id"))
+
+
 @query(
     "fk_violations",
     """SELECT user_id AS s_suppkey, count(*) AS rows FROM events

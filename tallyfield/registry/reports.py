@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield.functions import numbers
-from tallyfield.operators import aggregates, keys
+from tallyfield.operators import aggregates, keys, ordered
 from tallyfield.plans import reports
 from tallyfield.plans.adapters import (
     CONTESTS_SQL,
@@ -325,19 +325,29 @@ def q_phase_rates(spark, folder):
     return reports.phase_rates(performances(spark, folder), "team", over, "score", wicket, early=2, late=6)
 
 
-@query(
-    "q_form_trend",
-    f"""WITH {OUTINGS_SQL} SELECT event_id, entity, CAST(value AS DOUBLE) AS value, number, CAST(s AS DOUBLE) / n AS rolling_mean FROM (
-          SELECT *, row_number() OVER w AS number, sum(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s,
-            count(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n
-          FROM outings WHERE entity = 7 WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id))""",
-)
-def q_form_trend(spark, folder):
-    position = F.col("ts").cast("timestamp").cast("double")
-    trend = reports.form_trend(outings(spark, folder), "entity", 7, ["ts", "event_id"], position, "value")
+_FORM_TREND = """SELECT event_id, entity, CAST(value AS DOUBLE) AS value, number, CAST(s AS DOUBLE) / n AS rolling_mean FROM (
+  SELECT *, row_number() OVER w AS number, sum(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s,
+    count(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n
+  FROM outings WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id))"""
+
+
+def _form_trend(spark, folder, who=None):
+    position = ordered.clock_position(F.col("ts"))
+    trend = reports.form_trend(outings(spark, folder), "entity", ["ts", "event_id"], position, "value", who=who)
     return trend.select("event_id", "entity", F.col("value").cast("double").alias("value"), "number", "rolling_mean")
 
 
+@query("q_form_trend", f"WITH {OUTINGS_SQL} {_FORM_TREND}")
+def q_form_trend(spark, folder):
+    return _form_trend(spark, folder)
+
+
+@query("q_form_trend_of_one", f"WITH {OUTINGS_SQL} {_FORM_TREND} WHERE entity = 7")
+def q_form_trend_of_one(spark, folder):
+    """The report as asked for by name: one entity."""
+    return _form_trend(spark, folder, 7)
+
+
 @query(
     "q_head_to_head",
     f"""WITH {CONTESTS_SQL}, t AS (SELECT side1, side2, count(*) AS contests, count(*) FILTER (winner = side1) AS side1_wins,
