@@ -10,7 +10,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 from math import factorial
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -174,24 +173,18 @@ def accuracy(predicted: DataFrame, keys: Sequence[str], label: str = LABEL, pred
     )
 
 
-def cross_validate(
-    frame: DataFrame, fitters: dict, folds: Sequence[Fold], label: str = LABEL, parallel: int = 4
-) -> DataFrame:
+def cross_validate(frame: DataFrame, fitters: dict, folds: Sequence[Fold], label: str = LABEL) -> DataFrame:
     """Accuracy of every model on every fold: (model, fold, rows, accuracy).
 
-    ``frame`` is numbered and stored; each fold reads its range of row numbers. Fits of different folds are
-    independent jobs and share the cluster.
+    ``frame`` is numbered and stored; each fold reads its range of row numbers. One fit after the other: each
+    passes over its whole training part with all cores.
     """
-    tasks = [(name, fit, fold) for name, fit in fitters.items() for fold in folds]
-
-    def run(task):
-        name, fit, fold = task
-        scored = fit(fold.train(frame)).transform(fold.valid(frame))
-        row = accuracy(scored, [], label).first()
-        return name, fold.number, int(row["rows"]), float(row["accuracy"])
-
-    with ThreadPool(min(parallel, len(tasks))) as pool:
-        results = pool.map(run, tasks)
+    results = []
+    for name, fit in fitters.items():
+        for fold in folds:
+            scored = fit(fold.train(frame)).transform(fold.valid(frame))
+            row = accuracy(scored, [], label).first()
+            results.append((name, fold.number, int(row["rows"]), float(row["accuracy"])))
     return frame.sparkSession.createDataFrame(results, "model string, fold int, rows long, accuracy double")
 
 
