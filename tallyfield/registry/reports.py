@@ -217,13 +217,13 @@ def top_n_global(spark, folder):
 
 @query(
     "rank_by_abs",
-    """WITH parts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, u.feature, u.contribution FROM lineitem,
+    """WITH lines AS (SELECT *, row_number() OVER () AS line FROM lineitem),
+       parts AS (SELECT line, l_orderkey, l_linenumber, l_partkey, l_suppkey, u.feature, u.contribution FROM lines,
          LATERAL (SELECT unnest([{'feature': 'discount', 'contribution': CAST(round(l_discount * 100) AS BIGINT)},
            {'feature': 'size', 'contribution': CAST(l_linenumber - 10 AS BIGINT)},
            {'feature': 'tax', 'contribution': CAST(-round(l_tax * 100) AS BIGINT)}]) AS u))
        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, feature, contribution, rank FROM (
-         SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey
-           ORDER BY abs(contribution) DESC, feature) AS rank FROM parts)""",
+         SELECT *, row_number() OVER (PARTITION BY line ORDER BY abs(contribution) DESC, feature) AS rank FROM parts)""",
 )
 def rank_by_abs(spark, folder):
     parts = F.array(
