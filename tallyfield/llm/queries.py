@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import chat, mixing, simhash, sketches, toxicity  # noqa: F401
+from tallyfield.llm import chat, mixing, pieces, simhash, sketches, toxicity  # noqa: F401
 from tallyfield.llm.common import COMPARISONS, QUERIES
 
 __all__ = ["COMPARISONS", "QUERIES"]
