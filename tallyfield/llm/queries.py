@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import chat, extraction, mixing, pieces, search, simhash, sketches, toxicity  # noqa: F401
+from tallyfield.llm import chat, extraction, lines, mixing, pieces, search, simhash, sketches, toxicity  # noqa: F401
 from tallyfield.llm.common import COMPARISONS, QUERIES
 
 __all__ = ["COMPARISONS", "QUERIES"]
