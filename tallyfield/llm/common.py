@@ -42,6 +42,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def pinned(df: DataFrame, **computed: Column) -> DataFrame:
+    """``df`` with computed columns that are evaluated once a row.
+
+    The optimizer copies the expression of a column into every place that uses it, also into lambdas, where it would run
+    for each element. It does not look through a generator, so the values pass through one that yields a single row.
+    """
+    names = {c: free_name(df, c) for c in computed}
+    pin = free_name(df, "pin")
+    generated = df.select("*", F.explode(F.array(F.struct(*[v.alias(names[c]) for c, v in computed.items()]))).alias(pin))
+    return generated.select(*[generated[c] for c in df.columns], *[F.col(f"{pin}.{n}").alias(n) for n in names.values()])
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

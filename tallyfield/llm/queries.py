@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tallyfield.llm import chat, extraction, lines, mixing, pieces, search, simhash, sketches, toxicity  # noqa: F401
-from tallyfield.llm.common import COMPARISONS, QUERIES
+import corpus_pipeline
+from tallyfield.llm import (  # noqa: F401
+    chat,
+    extraction,
+    licenses,
+    lines,
+    mixing,
+    pieces,
+    search,
+    simhash,
+    sketches,
+    toxicity,
+)
+from tallyfield.llm.common import COMPARISONS, QUERIES, query
 
 __all__ = ["COMPARISONS", "QUERIES"]
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
