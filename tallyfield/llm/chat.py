@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import query, table, text_or_empty
+from tallyfield.llm.common import pinned, query, table, text_or_empty
 
 #: The marks of the template and the role that is learnt.
 OPEN, CLOSE, APART, FEED = "<|im_start|>", "<|im_end|>", "<|im_sep|>", "<|nl|>"
@@ -68,7 +68,7 @@ def messages(turns: DataFrame) -> DataFrame:
             F.transform(F.slice(all_turns, s + 1, ends(k) - s), lambda t: t["text"]).alias("texts"),
         ),
     )
-    return ordered.withColumn("starts", F.filter(places, lambda i: i >= 0)).select("conv_id", merged.alias("messages"))
+    return pinned(ordered, starts=F.filter(places, lambda i: i >= 0)).select("conv_id", merged.alias("messages"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     def message(m: Column) -> Column:
         return F.concat(_mark(F.concat(F.lit(OPEN), _role_out(m["role"]), F.lit("\n"))), body(m), _mark(F.lit(f"{CLOSE}\n")))
 
-    built = messages(turns).select("conv_id", F.flatten(F.transform("messages", message)).alias("segments"))
+    built = pinned(messages(turns), segments=F.flatten(F.transform("messages", message)))
     return built.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
@@ -137,7 +137,7 @@ def op3_chat_format(spark, folder):
         F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(tricky).alias("text")) for i, r in enumerate(("user", LEARNT_ROLE))])).alias("t"),
     )
     chats = format_chats(given.unionByName(extra.select("conv_id", "t.*")))
-    read = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("learnt"))
+    read = pinned(chats, turns=read_back(F.col("formatted")), learnt=loss_text(F.col("segments")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
