@@ -93,7 +93,8 @@ def sketches(docs: DataFrame, sketcher: Sketcher | None = None) -> DataFrame:
 
 
 RESULT = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-RESULT_TYPES = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT_TYPES = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+ARROW_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 FINISHED, LAST, FIRST = 0, 1, 2
 
 
@@ -111,8 +112,8 @@ def compared_with_next(docs: DataFrame, sketcher: Sketcher | None = None) -> Dat
     def compare(text: str, own: bytes, following: str, of_following: bytes) -> tuple:
         new = edited(text, following)
         of_new = maker.sketch(new)
-        digest = hashlib.sha256(new.encode()).hexdigest()
-        return len(text), digest, own.hex(), of_new.hex(), maker.likeness(own, of_new), maker.likeness(own, of_following)
+        digest = hashlib.sha256(new.encode()).digest()
+        return len(text), digest, own, of_new, maker.likeness(own, of_new), maker.likeness(own, of_following)
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -121,8 +122,7 @@ def compared_with_next(docs: DataFrame, sketcher: Sketcher | None = None) -> Dat
 
         def table_of(ids: list, kinds: list, results: list, texts: list) -> pa.RecordBatch:
             columns = list(zip(*results, strict=True)) if results else [[]] * len(RESULT)
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, ARROW_TYPES, strict=True)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, id_type), pa.array(kinds, pa.int32()), pa.array([part] * len(ids), pa.int32()), *arrays, pa.array(texts, pa.string())], names
             )
@@ -152,8 +152,7 @@ def compared_with_next(docs: DataFrame, sketcher: Sketcher | None = None) -> Dat
                 for text, following in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             ]
             columns = list(zip(*results, strict=True)) if results else [[]] * len(RESULT)
-            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, ARROW_TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *RESULT])
 
     order = F.col("doc_id").desc_nulls_last()
@@ -167,7 +166,8 @@ def compared_with_next(docs: DataFrame, sketcher: Sketcher | None = None) -> Dat
     )
     borders = last.join(following, "part").join(first, "next_part").select("doc_id", "text", "next_text")
     done = read.filter(F.col("kind") == FINISHED).select("doc_id", *RESULT)
-    return done.unionByName(borders.mapInArrow(across, f"doc_id {kind}, {RESULT_TYPES}"))
+    every = done.unionByName(borders.mapInArrow(across, f"doc_id {kind}, {RESULT_TYPES}"))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 @query("op7_document_fingerprints")
