@@ -16,7 +16,7 @@ results.
 
 Defined results: vectors that are null or hold a null or a value that is not finite take no part, nor do rows
 without an id. Rows that share an id are one vector, the smallest of them. Vectors of different lengths are not
-compared. Fewer than k candidates give fewer rows; an empty table gives an empty table; other columns are not read.
+compared. Scores beyond a long's range are held at its ends. Fewer than k candidates give fewer rows; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ TOP, SCALE, QUERY_STEP = 5, 256, 50
 PIVOTS, PIVOT_SAMPLE, CANDIDATE_ROWS, QUERY_ROWS = 16, 1024, 8192, 1024
 #: Candidates of the first portion, and room for rounding of the bounds.
 FIRST_PORTION, SLACK = 64, 1e-9
-EXACT_BELOW = float(2**53)
+#: Doubles hold whole numbers exactly below this; scores are held at the ends of what a long can hold.
+EXACT_BELOW, LONGEST = float(2**53), 2**63 - 1
 
 
 def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -100,7 +101,7 @@ def best_of_cell(
         best = sorted(zip((-scores).tolist(), ids[at].tolist(), strict=True))[:top]
         out_q += [int(own)] * len(best)
         out_id += [i for _, i in best]
-        out_score += [int(-s) for s, _ in best]
+        out_score += [max(-LONGEST, min(LONGEST, int(-s))) for s, _ in best]
     return out_q, out_id, out_score, evaluated
 
 
