@@ -1,80 +1,42 @@
 """Ordered work inside groups: numbering, rolling values, runs, and totals before a day.
 
-A plain Spark window puts a whole group into one task. That is right while groups are small, and wrong once one
-group holds a large share of the data. Long groups are therefore cut into *chunks* along their order: the
-chunks are worked on independently, and the little that crosses a chunk border (a row count, the last few rows,
-the start of a run) travels as carried rows that are bounded per chunk. Results are the same either way.
+A plain Spark window puts a whole group into one task, which is wrong once one group holds a large share of the data.
+So rows are range-partitioned on key and order together and stored with the number of their range. A group, or a
+single busy day, that is longer than a range simply spans several; a range is worked on alone, and the little that
+crosses its border (a row count, the last few rows, the start of a run) travels as carried rows that are bounded per
+range. There is one plan for every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
-MAX_GROUP_ROWS = 4_000_000
-MAX_CHUNKS = 10_000
-MAX_BROADCAST_GROUPS = 50_000
+from tallyfield.session import materialise
 
-_LOWEST = -1.7e308
+CHUNK = "_chunk"
 
 
-def cut_long_groups(
-    df: DataFrame, keys: Sequence[str], position: Column, max_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Add a chunk column if some group is longer than ``max_rows``; return ``df`` as it is otherwise.
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Store ``df`` range-partitioned by ``keys`` and ``order`` (a total order), with a column for the range.
 
-    ``position`` is a number that never decreases along the order the caller is going to use. Borders are
-    quantiles of it over the long groups, so no chunk of a long group holds much more than ``max_rows`` rows.
-    Short groups stay whole in chunk 0. The check reads the key columns only and combines counts before the
-    shuffle.
+    The functions below take such a table and keep that column, so that several can share the ranges; ``whole`` drops
+    it. The number of ranges follows the session's shuffle settings unless it is given.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    long = F.col("_rows") > max_rows
-    found = sizes.agg(F.count_if(long).alias("groups"), F.sum(F.when(long, F.col("_rows"))).alias("rows")).first()
-    if not found["groups"]:
-        return df
-    marked = _mark_long(df, keys, sizes.where(long), found["groups"])
-    placed = marked.withColumn("_position", F.coalesce(position.cast("double"), F.lit(_LOWEST)))
-    count = min(-(-found["rows"] // max_rows), MAX_CHUNKS)
-    shares = [i / count for i in range(1, count)]
-    borders = sorted(set(placed.where("_long").approxQuantile("_position", shares, 0.25 / count)))
-    splits = [float("-inf"), *borders, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket").transform(placed)
-    chunk = F.when(F.col("_long"), F.col("_bucket").cast("int")).otherwise(0)
-    return cut.select(*df.columns, chunk.alias(CHUNK))
-
-
-def clock_position(ts: Column) -> Column:
-    """Days since 1970 with the time of day as a fraction, for timestamps with or without a time zone."""
-    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    return F.unix_date(ts.cast("date")) + seconds / F.lit(86400.0)
-
-
-def _mark_long(df: DataFrame, keys: Sequence[str], long: DataFrame, groups: int) -> DataFrame:
-    """Flag the rows of long groups. There are at most (all rows / max_rows) such groups; the list is broadcast
-    only while it is known to be short."""
-    if not keys:
-        return df.withColumn("_long", F.lit(True))
-    names = [f"_long_{i}" for i in range(len(keys))]
-    listed = long.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.lit(True).alias("_long"))
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
-    hinted = F.broadcast(listed) if groups <= MAX_BROADCAST_GROUPS else listed
-    return df.join(hinted, same, "left").drop(*names).withColumn("_long", F.coalesce("_long", F.lit(False)))
-
-
-def _group(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    return [*keys, CHUNK] if CHUNK in df.columns else list(keys)
-
-
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], into: str) -> DataFrame:
-    """1, 2, 3, … per key in the given total order."""
-    if CHUNK not in df.columns:
-        return df.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    group = _group(df, keys)
+    columns = [F.col(c) for c in (*keys, *order)]
+    ranged = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
+    return materialise(ranged.withColumn(CHUNK, F.spark_partition_id()), "ranges")
+
+
+def whole(df: DataFrame) -> DataFrame:
+    return df.drop(CHUNK)
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
+    """1, 2, 3, … per key in the order of the ranges."""
+    group = [*keys, CHUNK]
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -84,7 +46,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], int
     inside = Window.partitionBy(*group).orderBy("_is_row", *order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = both.withColumn(into, F.row_number().over(inside) - 1 + F.first("_start").over(running))
-    return numbered.where("_is_row = 1").withColumn(into, F.col(into).cast("long")).drop("_start", "_is_row", CHUNK)
+    return numbered.where("_is_row = 1").withColumn(into, F.col(into).cast("long")).drop("_start", "_is_row")
 
 
 def _tail(sequence: Column, count: int) -> Column:
@@ -111,15 +73,12 @@ def rolling(
     frame: tuple[int, int],
     outputs: Mapping[str, Callable[[WindowSpec], Column]],
 ) -> DataFrame:
-    """Aggregates of ``value`` over a row frame that looks back, per key in a total order.
+    """Aggregates of ``value`` over a row frame that looks back, per key in the order of the ranges.
 
     ``frame`` is ``(-k, 0)`` to include the current row or ``(-k, -1)`` to leave it out.
     """
     low, high = frame
-    if CHUNK not in df.columns:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(low, high)
-        return df.withColumns({name: make(window) for name, make in outputs.items()})
-    group, count = _group(df, keys), -low
+    group, count = [*keys, CHUNK], -low
     tails = _last_rows(df, group, order, value, count)
     chunks_before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(-count, -1)
     halo = (
@@ -131,7 +90,7 @@ def rolling(
     both = df.withColumn("_is_row", F.lit(1)).unionByName(halo, allowMissingColumns=True)
     window = Window.partitionBy(*group).orderBy(*order).rowsBetween(low, high)
     rolled = both.withColumns({name: make(window) for name, make in outputs.items()})
-    return rolled.where("_is_row = 1").drop("_is_row", CHUNK)
+    return rolled.where("_is_row = 1").drop("_is_row")
 
 
 def mean_of(value: str) -> Callable[[WindowSpec], Column]:
@@ -148,7 +107,7 @@ def run_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], run: Sequence[str], into: str
 ) -> DataFrame:
     """Position inside the current run of equal ``run`` values, restarting whenever they change."""
-    group = _group(df, keys)
+    group = [*keys, CHUNK]
     inside = Window.partitionBy(*group).orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = df.columns
@@ -157,10 +116,7 @@ def run_position(
         {"_n": F.row_number().over(inside).cast("long"), "_new": ~F.lag(current).over(inside).eqNullSafe(current)}
     )
     started = flagged.withColumn("_from", F.max(F.when(F.col("_new"), F.col("_n"))).over(running))
-    if CHUNK not in columns:
-        return started.withColumn(into, F.col("_n") - F.col("_from") + 1).select(*columns, into)
-
-    # What a chunk tells the ones after it: how long it is, which run it begins and ends with, where its last
+    # What a range tells the ones after it: how long it is, which run it begins and ends with, where its last
     # run began.
     chunks = started.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -186,8 +142,7 @@ def run_position(
     in_first_run = F.col("_from") == 1
     position = F.col("_n") - F.col("_from") + 1 + F.when(in_first_run, F.col("_carry")).otherwise(0)
     placed = both.withColumn("_carry", F.first("_extra").over(spread)).where("_is_row = 1")
-    kept = [name for name in columns if name != CHUNK]
-    return placed.withColumn(into, position).select(*kept, into)
+    return placed.withColumn(into, position).select(*columns, into)
 
 
 def _daily(df: DataFrame, keys: Sequence[str], day: str, measures: Mapping[str, Column]) -> DataFrame:

@@ -27,21 +27,18 @@ def add_form(
     df: DataFrame,
     side: str,
     into: str,
-    max_rows: int = ordered.MAX_GROUP_ROWS,
+    partitions: int | None = None,
     length: int = FORM_LENGTH,
     tiebreak: str = "contest_id",
 ) -> DataFrame:
     """Mean outcome of the last five contests the side was listed in the same column for, this one left out."""
     dated = df.withColumn("_won", own_outcome(side))
-    position = F.unix_date("contest_date")
-    if dict(df.dtypes)[tiebreak] in ("int", "bigint"):
-        # Numeric ids split even a single busy day; the fraction only has to follow the order of the ids.
-        position = position + F.col(tiebreak) / F.lit(float(2**64))
-    cut = ordered.cut_long_groups(dated, [side], position, max_rows)
+    order = ["contest_date", tiebreak]
+    ranges = ordered.in_ranges(dated, [side], order, partitions)
     rolled = ordered.rolling(
-        cut, [side], ["contest_date", tiebreak], "_won", (-length, -1), {into: ordered.mean_of("_won")}
+        ranges, [side], order, "_won", (-length, -1), {into: ordered.mean_of("_won")}
     )
-    return rolled.drop("_won")
+    return ordered.whole(rolled).drop("_won")
 
 
 def listed_appearances(df: DataFrame) -> DataFrame:
@@ -53,12 +50,12 @@ def listed_appearances(df: DataFrame) -> DataFrame:
     return df.select("contest_id", "contest_date", "venue", F.inline(views))
 
 
-def form_over_all(df: DataFrame, max_rows: int = ordered.MAX_GROUP_ROWS, length: int = FORM_LENGTH) -> DataFrame:
+def form_over_all(df: DataFrame, partitions: int | None = None, length: int = FORM_LENGTH) -> DataFrame:
     """Form over all contests of a side, in either column: (contest_id, side, role, form)."""
     long = listed_appearances(df)
-    cut = ordered.cut_long_groups(long, ["side"], F.unix_date("contest_date"), max_rows)
+    order = ["contest_date", "contest_id", "role"]
     return ordered.rolling(
-        cut, ["side"], ["contest_date", "contest_id", "role"], "won", (-length, -1), {"form": ordered.mean_of("won")}
+        ordered.in_ranges(long, ["side"], order, partitions), ["side"], order, "won", (-length, -1), {"form": ordered.mean_of("won")}
     ).select("contest_id", "side", "role", "form")
 
 
@@ -116,10 +113,10 @@ def add_neutral_flag(df: DataFrame, into: str = "neutral_venue") -> DataFrame:
     return df.withColumn(into, neutral_flag(F.col("venue"), F.col("side1"), F.col("side2")))
 
 
-def add_all_features(contests: DataFrame, max_rows: int = ordered.MAX_GROUP_ROWS) -> DataFrame:
+def add_all_features(contests: DataFrame, partitions: int | None = None) -> DataFrame:
     """All five features on every contest. ``contests`` is read several times: hand in a stored table."""
-    df = add_form(contests, "side1", "side1_form", max_rows)
-    df = add_form(df, "side2", "side2_form", max_rows)
+    df = add_form(contests, "side1", "side1_form", partitions)
+    df = add_form(df, "side2", "side2_form", partitions)
     paired = _pair(contests)
     pairs = ordered.totals_before(paired, ["_low", "_high"], "contest_date", _pair_totals())
     venues = ordered.totals_before(contests, ["side1", "venue"], "contest_date", _venue_totals())
@@ -128,9 +125,9 @@ def add_all_features(contests: DataFrame, max_rows: int = ordered.MAX_GROUP_ROWS
     return add_neutral_flag(df)
 
 
-def training_frame(contests: DataFrame, max_rows: int = ordered.MAX_GROUP_ROWS) -> DataFrame:
+def training_frame(contests: DataFrame, partitions: int | None = None) -> DataFrame:
     """Contests with a known outcome and complete features, in the types the models expect."""
-    full = add_all_features(contests, max_rows).dropna(subset=[LABEL, *FEATURES])
+    full = add_all_features(contests, partitions).dropna(subset=[LABEL, *FEATURES])
     numbers = [F.col(name).cast("double").alias(name) for name in FEATURES]
     return full.select(
         "contest_id", "side1", "side2", "venue", "contest_date", *numbers, F.col(LABEL).cast("int").alias(LABEL)

@@ -41,10 +41,10 @@ VECTOR = "features"
 # --- folds -----------------------------------------------------------------------------------------------
 
 
-def in_time_order(df: DataFrame, day: str, tiebreak: str, into: str = "seq", max_rows: int = ordered.MAX_GROUP_ROWS):
-    """Number all rows by date. Long inputs are numbered in chunks of the calendar, not by one task."""
-    cut = ordered.cut_long_groups(df, [], F.unix_date(day), max_rows)
-    return ordered.number_rows(cut, [], [F.col(day), F.col(tiebreak)], into)
+def in_time_order(df: DataFrame, day: str, tiebreak: str, into: str = "seq", partitions: int | None = None):
+    """Number all rows by date and tie-break; the numbering runs in ranges of both, so no day is too long."""
+    ranges = ordered.in_ranges(df, [], [day, tiebreak], partitions)
+    return ordered.whole(ordered.number_rows(ranges, [], [day, tiebreak], into))
 
 
 @dataclass(frozen=True)

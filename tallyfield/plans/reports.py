@@ -78,19 +78,16 @@ def phase_rates(balls: DataFrame, team: str, over: Column, runs: str, wicket: Co
 
 
 def form_trend(
-    outings: DataFrame, entity: str, order: Sequence[str], position: Column, value: str, length: int = 5,
-    who=None, max_rows: int = ordered.MAX_GROUP_ROWS,
+    outings: DataFrame, entity: str, order: Sequence[str], value: str, length: int = 5, who=None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Outings of every entity, or of ``who`` alone, in order: their number and the mean of the last five including
     the current one."""
     own = outings if who is None else outings.where(F.col(entity) == F.lit(who))
-    numbered = ordered.number_rows(
-        ordered.cut_long_groups(own, [entity], position, max_rows), [entity], [F.col(c) for c in order], "number"
-    )
-    return ordered.rolling(
-        ordered.cut_long_groups(numbered, [entity], position, max_rows), [entity], list(order), value,
-        (1 - length, 0), {"rolling_mean": ordered.mean_of(value)},
-    )
+    ranges = ordered.in_ranges(own, [entity], order, partitions)
+    numbered = ordered.number_rows(ranges, [entity], order, "number")
+    means = {"rolling_mean": ordered.mean_of(value)}
+    return ordered.whole(ordered.rolling(numbered, [entity], order, value, (1 - length, 0), means))
 
 
 def head_to_head(contests: DataFrame, one: str, other: str, oriented: bool = True) -> DataFrame:

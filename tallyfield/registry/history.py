@@ -13,7 +13,7 @@ FORM_SQL = """CAST(sum({won}) OVER {w} AS DOUBLE) / nullif(count({won}) OVER {w}
 
 
 def _series(spark, folder):
-    return ordered.cut_long_groups(outings(spark, folder), ["entity"], ordered.clock_position(F.col("ts")))
+    return ordered.in_ranges(outings(spark, folder), ["entity"], ["ts", "event_id"])
 
 
 @query(
@@ -21,7 +21,7 @@ def _series(spark, folder):
     f"WITH {OUTINGS_SQL} SELECT event_id, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS number FROM outings",
 )
 def sequence_number(spark, folder):
-    numbered = ordered.number_rows(_series(spark, folder), ["entity"], [F.col("ts"), F.col("event_id")], "number")
+    numbered = ordered.number_rows(_series(spark, folder), ["entity"], ["ts", "event_id"], "number")
     return numbered.select("event_id", "number")
 
 

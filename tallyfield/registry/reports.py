@@ -332,8 +332,7 @@ _FORM_TREND = """SELECT event_id, entity, CAST(value AS DOUBLE) AS value, number
 
 
 def _form_trend(spark, folder, who=None):
-    position = ordered.clock_position(F.col("ts"))
-    trend = reports.form_trend(outings(spark, folder), "entity", ["ts", "event_id"], position, "value", who=who)
+    trend = reports.form_trend(outings(spark, folder), "entity", ["ts", "event_id"], "value", who=who)
     return trend.select("event_id", "entity", F.col("value").cast("double").alias("value"), "number", "rolling_mean")
 
 

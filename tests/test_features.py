@@ -51,10 +51,10 @@ def loops(data):
     return out
 
 
-@pytest.mark.parametrize("most", [10_000, 30])
-def test_all_features_against_loops(spark, most):
+@pytest.mark.parametrize("partitions", [1, 12])
+def test_all_features_against_loops(spark, partitions):
     data, df = make(spark)
-    out = features.add_all_features(df, max_rows=most)
+    out = features.add_all_features(df, partitions=partitions)
     assert {r[0]: tuple(r[1:]) for r in rows(out, "contest_id", *features.FEATURES)} == loops(data)
 
 
@@ -84,8 +84,8 @@ def test_form_over_both_columns(spark):
         for side in (one, two):
             past = [(r[3] if r[1] == side else None if r[3] is None else 1 - r[3]) for r in ordered[:at] if side in r[1:3]]
             expected[(ident, side)] = mean(past[-5:])
-    for most in (10_000, 20):
-        out = features.form_over_all(df, max_rows=most)
+    for partitions in (1, 10):
+        out = features.form_over_all(df, partitions=partitions)
         assert {(i, s): f for i, s, f in rows(out, "contest_id", "side", "form")} == expected
 
 

@@ -35,7 +35,7 @@ def test_fold_sizes():
 
 
 def test_folds_are_expanding_and_disjoint(frame):
-    numbered = models.in_time_order(frame, "contest_date", "contest_id", max_rows=50)
+    numbered = models.in_time_order(frame, "contest_date", "contest_id", partitions=12)
     assert rows(numbered, "seq") == [(i,) for i in range(1, 601)]
     uses = models.fold_rows(numbered, models.time_folds(600), ["contest_id"])
     for fold in models.time_folds(600):

@@ -1,9 +1,10 @@
-"""Chunked and plain evaluation must agree, with one key holding most rows, ties and NULLs."""
+"""Evaluation in ranges and by plain windows must agree, with one key holding most rows, ties and NULLs."""
 
 import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyfield.operators import ordered
@@ -20,39 +21,46 @@ def series(spark):
     return spark.createDataFrame(data, "id long, k string, day int, v int, run string").cache()
 
 
-def position():
-    return F.col("day") + F.col("id") / 2.0**20
+def ranges(series, keys, partitions):
+    return ordered.in_ranges(series, keys, ["day", "id"], partitions)
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-@pytest.mark.parametrize("most", [40, 700])
-def test_cut_only_when_needed(series, keys, most):
-    assert ordered.cut_long_groups(series, keys, position(), 10_000) is series
-    cut = ordered.cut_long_groups(series, keys, position(), most)
+@pytest.mark.parametrize("partitions", [1, 4, 60])
+def test_ranges_hold_their_share_however_long_a_group_is(series, keys, partitions):
+    cut = ranges(series, keys, partitions)
     assert cut.count() == 3000
-    sizes = [r["count"] for r in cut.groupBy(*keys, ordered.CHUNK).count().collect()]
-    assert len(sizes) > 2 and max(sizes) < 2 * most
-    if keys:
-        short = cut.where("k = 'k3'").select(ordered.CHUNK).distinct().collect()
-        assert [r[0] for r in short] == [0] or most == 40
+    sizes = [r["count"] for r in cut.groupBy(ordered.CHUNK).count().collect()]
+    assert len(sizes) == partitions or len(sizes) > 0.8 * partitions
+    assert max(sizes) < 2.5 * 3000 / partitions + 1
+
+
+@pytest.mark.parametrize("partitions", [8, 40])
+def test_one_key_and_one_day_are_split(spark, partitions):
+    df = spark.range(4000).select(F.lit("k").alias("k"), F.lit(1).alias("day"), "id", (F.col("id") % 2).alias("v"))
+    cut = ranges(df, ["k"], partitions)
+    assert max(r["count"] for r in cut.groupBy(ordered.CHUNK).count().collect()) < 2.5 * 4000 / partitions
+    numbered = ordered.whole(ordered.number_rows(cut, ["k"], ["day", "id"], "n"))
+    assert numbered.where("n <> id + 1").count() == 0
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-@pytest.mark.parametrize("most", [25, 400])
-def test_numbering(series, keys, most):
-    order = [F.col("day"), F.col("id")]
-    plain = ordered.number_rows(series, keys, order, "n")
-    cut = ordered.number_rows(ordered.cut_long_groups(series, keys, position(), most), keys, order, "n")
+@pytest.mark.parametrize("partitions", [3, 50])
+def test_numbering(series, keys, partitions):
+    window = Window.partitionBy(*keys).orderBy("day", "id")
+    plain = series.withColumn("n", F.row_number().over(window).cast("long"))
+    cut = ordered.whole(ordered.number_rows(ranges(series, keys, partitions), keys, ["day", "id"], "n"))
     assert rows(plain, "id", "n") == rows(cut, "id", "n")
     assert set(plain.columns) == set(cut.columns)
 
 
 @pytest.mark.parametrize("frame", [(-4, 0), (-5, -1)])
-@pytest.mark.parametrize("most", [7, 25, 400])
-def test_rolling(series, frame, most):
+@pytest.mark.parametrize("partitions", [1, 7, 300])
+def test_rolling(series, frame, partitions):
     outputs = {"m": ordered.mean_of("v"), "n": lambda w: F.count("v").over(w)}
-    plain = ordered.rolling(series, ["k"], ["day", "id"], "v", frame, outputs)
-    cut = ordered.rolling(ordered.cut_long_groups(series, ["k"], position(), most), ["k"], ["day", "id"], "v", frame, outputs)
+    window = Window.partitionBy("k").orderBy("day", "id").rowsBetween(*frame)
+    plain = series.withColumns({name: make(window) for name, make in outputs.items()})
+    cut = ordered.whole(ordered.rolling(ranges(series, ["k"], partitions), ["k"], ["day", "id"], "v", frame, outputs))
     assert rows(plain, "id", "m", "n") == rows(cut, "id", "m", "n")
     assert set(plain.columns) == set(cut.columns)
 
@@ -64,25 +72,26 @@ def test_rolling_against_a_loop(series):
         known = [v for v in past.setdefault(key, [])[-5:] if v is not None]
         expected.append((ident, sum(known) / len(known) if known else None))
         past[key].append(value)
-    out = ordered.rolling(series, ["k"], ["day", "id"], "v", (-5, -1), {"m": ordered.mean_of("v")})
+    out = ordered.rolling(ranges(series, ["k"], 9), ["k"], ["day", "id"], "v", (-5, -1), {"m": ordered.mean_of("v")})
     assert dict(rows(out, "id", "m")) == dict(expected)
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
-@pytest.mark.parametrize("most", [2, 25, 400])
-def test_run_positions(series, keys, most):
+@pytest.mark.parametrize("partitions", [1, 8, 120, 900])
+def test_run_positions(series, keys, partitions):
     data = sorted(((r["k"] or "") if keys else "", r["day"], r["id"], r["run"]) for r in series.collect())
     expected, last, count = {}, None, 0
     for key, _, ident, run in data:
         count = count + 1 if last == (key, run) else 1
         last = (key, run)
         expected[ident] = count
-    for df in (series, ordered.cut_long_groups(series, keys, position(), most)):
-        assert dict(rows(ordered.run_position(df, keys, ["day", "id"], ["run"], "p"), "id", "p")) == expected
+    df = ranges(series, keys, partitions)
+    assert dict(rows(ordered.run_position(df, keys, ["day", "id"], ["run"], "p"), "id", "p")) == expected
 
 
 def test_run_position_restarts(spark):
     df = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "A"), (5, None), (6, None)], "seq int, innings string")
+    df = ordered.in_ranges(df, [], ["seq"], 3)
     assert [p for _, p in rows(ordered.run_position(df, [], ["seq"], ["innings"], "p"), "seq", "p")] == [1, 2, 1, 1, 1, 2]
 
 
