@@ -36,13 +36,13 @@ def clean_bowling(raw: DataFrame) -> DataFrame:
 
 
 def clean_players(raw: DataFrame, order: list[str]) -> DataFrame:
-    """First record per player name in arrival ``order``; names are cleaned before they are compared."""
+    """First record per player and team in arrival ``order``; names are cleaned before they are compared."""
     texts = ["name", "team", "battingStyle", "bowlingStyle", "playingRole", "description"]
     df = cleaning.strip_columns(raw, texts)
     df = cleaning.scrub_columns(df, ["name"])
     df = cleaning.null_tokens(df, texts)
     df = cleaning.require(df, ["name"])
-    return cleaning.keep_first(df, ["name"], order)
+    return cleaning.keep_first(df, ["name", "team"] if "team" in df.columns else ["name"], order)
 
 
 def clean_matches(raw: DataFrame) -> DataFrame:
@@ -87,8 +87,12 @@ def build_players(players: DataFrame, teams: DataFrame, order: list[str]) -> Dat
 
 
 def _player_keys(records: DataFrame, players: DataFrame, name: str, team_id: str, into: str) -> DataFrame:
-    """Resolve a player by name and team, so that namesakes in two teams stay apart."""
-    return keys.lookup_key(records, players, {name: "name", team_id: "team_id"}, "player_id", into)
+    """Resolve a player by name and team, so that namesakes in two teams stay apart; else by a name that only one
+    player has, whatever the team. ``keys.ambiguous_names`` lists the names that stay open."""
+    df = keys.lookup_key(records, players, {name: "name", team_id: "team_id"}, "player_id", "_exact")
+    alone = players.groupBy("name").agg(F.min("player_id").alias("player_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    df = keys.lookup_key(df, alone, {name: "name"}, "player_id", "_alone")
+    return df.withColumn(into, F.coalesce("_exact", "_alone")).drop("_exact", "_alone")
 
 
 def build_batting(batting: DataFrame, teams: DataFrame, players: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def contests_from_star(matches: DataFrame, teams: DataFrame) -> DataFrame:
     """Contests with names, outcome and date: the base table of the features.
 
     Rows without any winner text or without a date are left out. A text that names neither side ("no result")
-    keeps its row with an unknown outcome.
+    keeps its row with an unknown outcome. ``winner`` is the name of the side that won, or that text.
     """
     one = teams.select(F.col("team_id").alias("team1_id"), F.col("team_name").alias("side1"))
     two = teams.select(F.col("team_id").alias("team2_id"), F.col("team_name").alias("side2"))
@@ -145,4 +149,17 @@ def contests_from_star(matches: DataFrame, teams: DataFrame) -> DataFrame:
     return df.join(one, "team1_id").join(two, "team2_id").select(
         F.col("match_id").alias("contest_id"), "side1", "side2", outcome.alias("side1_won"),
         F.col("ground").alias("venue"), F.col("match_date").alias("contest_date"),
+        F.when(F.col("winner_id") == F.col("team1_id"), F.col("side1")).when(F.col("winner_id") == F.col("team2_id"), F.col("side2"))
+        .otherwise(F.col("winner_text")).alias("winner"), "margin",
     )
+
+
+def performances_from_star(facts: DataFrame, matches: DataFrame, players: DataFrame, teams: DataFrame, player_id: str, team_id: str):
+    """Batting or bowling rows with the player's and the team's name, the ground and the date of the contest.
+
+    Facts whose player or contest is not known stay, with NULL in those columns.
+    """
+    who = players.select(F.col("player_id").alias(player_id), F.col("name").alias("player"))
+    side = teams.select(F.col("team_id").alias(team_id), F.col("team_name").alias("team"))
+    where = matches.select("match_id", F.col("ground").alias("venue"), F.col("match_date").alias("contest_date"))
+    return facts.join(where, "match_id", "left").join(who, player_id, "left").join(side, team_id, "left")

@@ -45,20 +45,23 @@ def decision_outcomes(contests: DataFrame, chooser: str, decision: str, winner:
     return grouped.withColumn("win_percentage", rounded_ratio(F.col("wins"), F.col("contests"), 100))
 
 
-def economy(spells: DataFrame, team: str, runs: str, overs: str, wickets: Column) -> DataFrame:
-    """Runs per over and wickets per six overs, per team."""
+def economy(spells: DataFrame, team: str, runs: str, overs: str, wickets: Column, digits: int = 1) -> DataFrame:
+    """Runs per over and wickets per six overs, per team; overs have up to ``digits`` decimals and are summed exactly."""
+    exact = F.sum(F.col(overs).cast(f"decimal(18,{digits})"))
     grouped = spells.groupBy(team).agg(
-        F.sum(runs).alias("total_runs"), F.sum(overs).alias("total_overs"), F.sum(wickets).alias("total_wickets"),
+        F.sum(runs).alias("total_runs"), exact.alias("total_overs"), F.sum(wickets).alias("total_wickets"),
         F.count(F.lit(1)).alias("spells"),
     )
-    return grouped.withColumns(
+    rated = grouped.withColumns(
         {
-            "economy": rounded_ratio(F.col("total_runs"), F.col("total_overs")),
-            "wickets_per_6_overs": rounded_ratio(F.col("total_wickets"), F.col("total_overs"), 6),
+            "economy": rounded_ratio(F.col("total_runs"), F.col("total_overs"), digits=digits),
+            "wickets_per_6_overs": rounded_ratio(F.col("total_wickets"), F.col("total_overs"), 6, digits=digits),
         }
     )
+    return rated.withColumn("total_overs", F.col("total_overs").cast("double"))
 
 
+# Names of the phases and the overs that end the first and begin the last.
 def phase(over: Column, early: int = 6, late: int = 16) -> Column:
     return F.when(over <= early, "powerplay").when(over >= late, "death").otherwise("middle")
 

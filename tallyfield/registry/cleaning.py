@@ -74,7 +74,7 @@ def fill_counts(spark, folder):
     return cleaning.fill_zero(cleaning.numeric_columns(_spoilt_numbers(spark, folder), ["amount"]), ["amount"])
 
 
-@query("coerce_int", f"SELECT c_custkey, coalesce(CAST(trunc({TRUE_NUMBER}) AS INTEGER), 0) AS amount FROM customer")
+@query("coerce_int", f"SELECT c_custkey, coalesce(CAST(trunc({TRUE_NUMBER}) AS BIGINT), 0) AS amount FROM customer")
 def coerce_int(spark, folder):
     return cleaning.whole_columns(_spoilt_numbers(spark, folder), ["amount"])
 

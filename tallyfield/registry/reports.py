@@ -303,14 +303,17 @@ def q_decision_outcome(spark, folder):
 @query(
     "q_economy",
     f"""WITH {PERFORMANCES_SQL}, t AS (SELECT team, CAST(sum(conceded) AS BIGINT) AS total_runs,
-          CAST(sum(score) AS BIGINT) AS total_overs, count(*) FILTER (l_returnflag = 'R') AS total_wickets,
+          CAST(sum(score) AS BIGINT) AS tenths, count(*) FILTER (l_returnflag = 'R') AS total_wickets,
           count(*) AS spells FROM performances GROUP BY 1)
-        SELECT *, {_percent("total_runs", "total_overs", 1)} AS economy,
-          {_percent("total_wickets", "total_overs", 6)} AS wickets_per_6_overs FROM t""",
+        SELECT team, total_runs, CAST(tenths AS DOUBLE) / 10 AS total_overs, total_wickets, spells,
+          {_percent("total_runs", "tenths", 10)} AS economy, {_percent("total_wickets", "tenths", 60)} AS wickets_per_6_overs
+        FROM t""",
 )
 def q_economy(spark, folder):
+    """Overs with a fraction: a tenth of the quantity."""
     wicket = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
-    return reports.economy(performances(spark, folder), "team", "conceded", "score", wicket)
+    spells = performances(spark, folder).withColumn("overs", F.col("score") / 10.0)
+    return reports.economy(spells, "team", "conceded", "overs", wicket)
 
 
 @query(

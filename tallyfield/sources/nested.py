@@ -22,20 +22,14 @@ def document_type(field: str, columns: Sequence[str]) -> str:
 def read_nested(spark: SparkSession, path: str, field: str, columns: Sequence[str], first_only: bool = False):
     """Records of a JSON file ``[{field: [record, …]}, …]`` with their arrival order.
 
-    ``file_name`` and ``ingest_seq`` name the place a record came from: file, element and position are all
-    that "first" and "last" can mean on a cluster.
+    ``file_name``, ``element_seq`` and ``ingest_seq`` name the place a record came from: file, element and position
+    are all that "first" and "last" can mean on a cluster. A file is read whole, as any JSON array must be.
     """
-    schema = f"`{field}` array<{record_type(columns)}>"
-    elements = spark.read.schema(schema).option("multiLine", True).json(path)
-    if first_only:
-        # A file is one input split here, so its elements arrive in file order.
-        elements = elements.withColumn("_file", F.col("_metadata.file_path")).groupBy("_file").agg(
-            F.first(field).alias(field)
-        )
-    else:
-        elements = elements.withColumn("_file", F.col("_metadata.file_path"))
-    return elements.select(F.col("_file").alias("file_name"), F.posexplode(field).alias("ingest_seq", "_r")).select(
-        "file_name", "ingest_seq", "_r.*"
+    elements = F.from_json(F.col("value"), f"array<{document_type(field, columns)}>")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_name"), F.posexplode(elements).alias("element_seq", "_e"))
+    chosen = files.where("element_seq = 0") if first_only else files
+    return chosen.select("file_name", "element_seq", F.posexplode(F.col("_e")[field]).alias("ingest_seq", "_r")).select(
+        "file_name", "element_seq", "ingest_seq", "_r.*"
     )
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
     DoubleType,
-    IntegerType,
     LongType,
     StringType,
     StructField,
@@ -46,14 +45,14 @@ MATCHES = _schema(
     margin=StringType, ground=StringType, match_date=DateType, created_at=TimestampType,
 )
 BATTING = _schema(
-    match_id=StringType, team_innings_id=LongType, batsman_id=LongType, batting_pos=IntegerType, runs=IntegerType,
-    balls=IntegerType, fours=IntegerType, sixes=IntegerType, strike_rate=DoubleType, dismissal=StringType,
+    match_id=StringType, team_innings_id=LongType, batsman_id=LongType, batting_pos=LongType, runs=LongType,
+    balls=LongType, fours=LongType, sixes=LongType, strike_rate=DoubleType, dismissal=StringType,
     created_at=TimestampType,
 )
 BOWLING = _schema(
-    match_id=StringType, bowling_team_id=LongType, bowler_id=LongType, overs=DoubleType, maiden=IntegerType,
-    runs=IntegerType, wickets=IntegerType, economy=DoubleType, zeros=IntegerType, fours=IntegerType,
-    sixes=IntegerType, wides=IntegerType, no_balls=IntegerType, created_at=TimestampType,
+    match_id=StringType, bowling_team_id=LongType, bowler_id=LongType, overs=DoubleType, maiden=LongType,
+    runs=LongType, wickets=LongType, economy=DoubleType, zeros=LongType, fours=LongType,
+    sixes=LongType, wides=LongType, no_balls=LongType, created_at=TimestampType,
 )
 
 
@@ -75,13 +74,14 @@ def read_delimited(
     """Header CSV as text columns with true NULLs.
 
     Only the header line is looked at beforehand; no pass is spent on inferring types. Columns are matched to
-    the header by name: those the file lacks are left out, others it has are not read. Set ``multi_line`` for
-    files whose quoted fields contain line breaks; such files cannot be split among tasks.
+    the header by name: those the file lacks are left out, others it has are not read. A folder whose files have
+    different headers fails when it is read; read such files apart and join them with ``unionByName``. Set
+    ``multi_line`` for files whose quoted fields contain line breaks; such files cannot be split among tasks.
     """
     require_inputs(spark, [path])
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     header = reader.csv(path).columns
-    rows = reader.schema(text_schema(header)).csv(path)
+    rows = reader.schema(text_schema(header)).option("enforceSchema", False).csv(path)
     found = [name for name in columns if name in header]
     return rows.select(*[F.when(~F.col(f"`{n}`").isin(*missing), F.col(f"`{n}`")).alias(n) for n in found])
 

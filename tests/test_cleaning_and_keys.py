@@ -57,6 +57,19 @@ def test_namesakes_resolve_by_team(spark):
     assert rows(keys.ambiguous_names(roster, ["name"], "player_id")) == [("Sam", 2)]
 
 
+def test_no_score_loses_a_player_the_roster_knows(spark):
+    teams = spark.createDataFrame([(1, "A"), (2, "B")], "team_id long, team_name string")
+    raw = [("Sam", "A", 1), ("Sam", "B", 2), ("Kim", None, 3), ("Kim", None, 4), ("Lee", "A", 5)]
+    raw = spark.createDataFrame(raw, "name string, team string, seq int")
+    roster = records.build_players(records.clean_players(raw, ["seq"]), teams, ["team"])
+    assert rows(roster, "name", "team_id") == [("Kim", None), ("Lee", 1), ("Sam", 1), ("Sam", 2)]
+    scores = [("m", "A", "Sam", 1), ("m", "B", "Sam", 2), ("m", "A", "Kim", 3), ("m", "B", "Lee", 4)]
+    scores = spark.createDataFrame(scores, "match_id string, teamInnings string, batsmanName string, runs int")
+    found = dict(rows(records.build_batting(scores, teams, roster), "runs", "batsman_id"))
+    ids = {(r["name"], r["team_id"]): r["player_id"] for r in roster.collect()}
+    assert found == {1: ids["Sam", 1], 2: ids["Sam", 2], 3: ids["Kim", None], 4: ids["Lee", 1]}
+
+
 def test_strict_mode_takes_winner_texts_as_teams(spark):
     raw = spark.createDataFrame([("A", "B", "no result"), ("B", "C", "B")], "team1 string, team2 string, winner string")
     assert rows(records.build_teams(raw), "team_name") == [("A",), ("B",), ("C",)]

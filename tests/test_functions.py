@@ -51,6 +51,20 @@ def test_ratios(spark):
     ]
 
 
+def test_ratios_of_decimals_and_negative_numbers(spark):
+    df = spark.createDataFrame([(40.0, 4.7, 6.0), (0.0, 4.7, 0.0), (-5.0, 1000.0, 1.0)], "runs double, overs double, w double")
+    out = df.select(
+        numbers.rounded_ratio(F.col("runs"), F.col("overs"), digits=1).alias("e"), numbers.rounded_ratio(F.col("w"), F.col("overs"), 1, digits=1).alias("w")
+    )
+    assert [tuple(r) for r in out.collect()] == [(8.51, 1.28), (0.0, 0.0), (-0.01, 0.0)]
+
+
+def test_blanks_of_any_kind_and_long_numbers(spark):
+    assert one(spark, ["\u00a07 ", "3000000000"], "string", numbers.to_whole) == [7, 3000000000]
+    values = ["Oct 16, 2022 ", " 2022-10-16", "October 16, 2022", "16/10/2022", "6/1/2022"]
+    assert one(spark, values, "string", numbers.iso_date) == ["2022-10-16"] * 4 + ["2022-01-06"]
+
+
 def test_overs(spark):
     assert one(spark, [3.4, 4.0, 0.5, None], "double", numbers.overs_to_balls) == [22, 24, 5, None]
 
