@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import numbers
 from tallyfield.operators import cleaning, keys
-from tallyfield.plans import records
+from tallyfield.plans import records, reports
 from tallyfield.plans.adapters import CONTESTS_SQL, contest_table, contests, table
 from tallyfield.registry import query
 from tallyfield.registry.cleaning import SPOILT_DATE
+from tallyfield.registry.reports import WIN_RATE_SQL
 from tallyfield.session import fresh_path
 
 
@@ -178,20 +179,17 @@ def step_counts(spark, folder):
     return spark.createDataFrame([(step, seen.get["rows"]) for step, seen in watched], "step string, rows long")
 
 
-@query(
-    "load_star_schema",
-    f"""WITH {CONTESTS_SQL}, played AS (
-          SELECT l_orderkey * 10 + l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY 1)
-        SELECT 'teams' AS table_name, count(*) AS rows, 0 AS unresolved FROM
-          (SELECT side1 FROM contests UNION SELECT side2 FROM contests)
-        UNION ALL SELECT 'matches', count(*), count(*) FILTER (winner = 'no result') FROM contests
-        UNION ALL SELECT 'players', count(*), count(*) FILTER (n_name NOT IN
-          (SELECT side1 FROM contests UNION SELECT side2 FROM contests)) FROM supplier JOIN nation ON s_nationkey = n_nationkey
-        UNION ALL SELECT 'batting', count(*), 0 FROM lineitem
-        UNION ALL SELECT 'bowling', count(*), count(*) FROM lineitem""",
-)
-def load_star_schema(spark, folder):
-    """Writes all five tables and reports rows and unresolved names of each."""
+_stars: dict[tuple[str, str], dict] = {}
+
+
+def star(spark, folder):
+    """The five tables of the star schema, written once per application and folder.
+
+    A supplier's line is a batting record of its nation and a bowling record of a side nobody has heard of.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key in _stars:
+        return _stars[key]
     games = contest_table(spark, folder).select(
         F.col("contest_id").cast("string").alias("match_id"), F.col("side1").alias("team1"), F.col("side2").alias("team2"),
         "winner", F.col("margin").cast("string").alias("margin"), F.col("venue").alias("ground"),
@@ -200,7 +198,6 @@ def load_star_schema(spark, folder):
     nation = table(spark, folder, "nation")
     supplier = table(spark, folder, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     players = supplier.select(F.col("s_name").alias("name"), F.col("n_name").alias("team"))
-    # The supplier's line is a batting record of its nation and a bowling record of a side nobody has heard of.
     lines = table(spark, folder, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     batting = lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("match_id"),
@@ -211,9 +208,27 @@ def load_star_schema(spark, folder):
         "match_id", F.concat(F.lit("Other "), "teamInnings").alias("bowlingTeam"),
         F.col("batsmanName").alias("bowlerName"), "runs",
     )
-    loaded = records.load_star_schema(
+    _stars[key] = records.load_star_schema(
         spark, fresh_path(spark, "star"), games, players, batting, bowling, ["matchDate"], ["name"]
     )
+    return _stars[key]
+
+
+@query(
+    "load_star_schema",
+    f"""WITH {CONTESTS_SQL}, played AS (
+          SELECT l_orderkey * 10 + l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY 1)
+        SELECT 'teams' AS table_name, count(*) AS rows, 0 AS unresolved FROM
+          (SELECT side1 FROM contests UNION SELECT side2 FROM contests)
+        UNION ALL SELECT 'matches', count(*), count(*) FILTER (winner = 'no result') FROM contests
+        UNION ALL SELECT 'players', count(*), count(*) FILTER (n_name NOT IN
+          (SELECT side1 FROM contests UNION SELECT side2 FROM contests)) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        UNION ALL SELECT 'batting', count(*), 0 FROM lineitem
+        UNION ALL SELECT 'bowling', count(*), 0 FROM lineitem""",
+)
+def load_star_schema(spark, folder):
+    """Rows and unresolved names of each of the five written tables."""
+    loaded = star(spark, folder)
     unresolved = {
         "teams": "team_id", "matches": "winner_id", "players": "team_id", "batting": "batsman_id", "bowling": "bowler_id",
     }
@@ -226,3 +241,64 @@ def load_star_schema(spark, folder):
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
+
+
+_KNOWN = "(SELECT side1 FROM contests UNION SELECT side2 FROM contests)"
+_SCORES_SQL = """FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"""
+
+
+@query("star_win_pct", f"WITH {CONTESTS_SQL} {WIN_RATE_SQL}")
+def star_win_pct(spark, folder):
+    """Win percentages from the written tables."""
+    loaded = star(spark, folder)
+    return reports.win_rates(records.contests_from_star(loaded["matches"], loaded["teams"]))
+
+
+@query(
+    "star_players",
+    f"""WITH {CONTESTS_SQL} SELECT s_name AS name, CASE WHEN n_name IN {_KNOWN} THEN n_name END AS team
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
+def star_players(spark, folder):
+    loaded = star(spark, folder)
+    teams = loaded["teams"].select("team_id", F.col("team_name").alias("team"))
+    return loaded["players"].join(teams, "team_id", "left").select("name", "team")
+
+
+def _scores(spark, folder, facts, player_id, team_id):
+    loaded = star(spark, folder)
+    return records.performances_from_star(loaded[facts], loaded["matches"], loaded["players"], loaded["teams"], player_id, team_id)
+
+
+@query(
+    "star_batting",
+    f"""WITH {CONTESTS_SQL} SELECT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS match_id, s_name AS player,
+          CASE WHEN n_name IN {_KNOWN} THEN n_name END AS team, CAST(l_linenumber AS BIGINT) AS batting_pos,
+          CAST(l_quantity AS BIGINT) AS runs {_SCORES_SQL}""",
+)
+def star_batting(spark, folder):
+    scores = _scores(spark, folder, "batting", "batsman_id", "team_innings_id")
+    return scores.select("match_id", "player", "team", "batting_pos", "runs")
+
+
+@query(
+    "star_bowling",
+    f"""SELECT CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS match_id, s_name AS player,
+          CAST(l_quantity AS BIGINT) AS runs {_SCORES_SQL}""",
+)
+def star_bowling(spark, folder):
+    """The side is unknown, so every bowler is found by a name that only one player has."""
+    return _scores(spark, folder, "bowling", "bowler_id", "bowling_team_id").select("match_id", "player", "runs")
+
+
+@query(
+    "star_top5_by_venue",
+    f"""WITH {CONTESTS_SQL}, totals AS (
+          SELECT venue, s_name AS player, n_name AS team, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, count(*) AS innings
+          {_SCORES_SQL} JOIN contests ON contest_id = l_orderkey * 10 + l_linenumber GROUP BY 1, 2, 3)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY total DESC, player, team) AS rank FROM totals)
+        WHERE rank <= 5""",
+)
+def star_top5_by_venue(spark, folder):
+    scores = _scores(spark, folder, "batting", "batsman_id", "team_innings_id").where("venue IS NOT NULL")
+    return reports.top_scorers_by_venue(scores, "venue", ["player", "team"], "runs")

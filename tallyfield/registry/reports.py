@@ -276,7 +276,10 @@ _WIN_RATE = """SELECT side, contests, wins, {pct} AS win_percentage FROM (
          (SELECT count(*) FROM contests WHERE winner = n_name) AS wins FROM nation) WHERE contests > 0"""
 
 
-@query("q_win_pct", f"WITH {CONTESTS_SQL} {_WIN_RATE.format(pct=_percent('wins', 'contests'), extra=' OR side2 = n_name')}")
+WIN_RATE_SQL = _WIN_RATE.format(pct=_percent("wins", "contests"), extra=" OR side2 = n_name")
+
+
+@query("q_win_pct", f"WITH {CONTESTS_SQL} {WIN_RATE_SQL}")
 def q_win_pct(spark, folder):
     return reports.win_rates(contests(spark, folder))
 
