@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.text import strip
 from tallyfield.operators.cleaning import keep_first, keep_last
-from tallyfield.operators.ordered import CHUNK, number_rows
+from tallyfield.operators.ordered import in_ranges, number_rows, whole
 
 
 def entity_names(df: DataFrame, columns: Sequence[str], into: str) -> DataFrame:
@@ -21,12 +21,12 @@ def entity_names(df: DataFrame, columns: Sequence[str], into: str) -> DataFrame:
 def number_names(names: DataFrame, name: str, into: str, start: int | Column = 0) -> DataFrame:
     """Dense, repeatable surrogate keys for distinct names.
 
-    Names are ranked by their MD5 text, whose first digits cut the ranking into 4,096 even parts. No task sees
-    more than one part, however long the list is, and the same names always get the same keys.
+    Names are ranked by their MD5 text in ranges of it, so no task sees them all, however long the list is, and the
+    same names always get the same keys.
     """
     hashed = names.withColumn("_hash", F.md5(F.col(name)))
-    parts = hashed.withColumn(CHUNK, F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    numbered = number_rows(parts, [], [F.col("_hash"), F.col(name)], into)
+    ranges = in_ranges(hashed, [], ["_hash", name])
+    numbered = whole(number_rows(ranges, [], ["_hash", name], into))
     first = start if isinstance(start, Column) else F.lit(start)
     return numbered.withColumn(into, F.col(into) + first).drop("_hash")
 

@@ -29,13 +29,13 @@ def stored(spark: SparkSession, folder: str, label: str, build) -> DataFrame:
 def unique_lines(spark: SparkSession, folder: str) -> DataFrame:
     """One line per (order, line number): the smallest by its remaining columns.
 
-    A minimum over structs is combined in the map tasks, so repeated lines are dropped before they are shuffled.
+    The lines are dealt out by order once; that serves the minimum here and a join with the orders after it.
     """
     rest = [
         "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
     ]
-    lines = table(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem").repartition("l_orderkey")
     firsts = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*rest)).alias("l"))
     return firsts.select("l_orderkey", "l_linenumber", "l.*")
 
@@ -50,10 +50,10 @@ def contests(spark: SparkSession, folder: str) -> DataFrame:
     lines = unique_lines(spark, folder)
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
     joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(named("side1"), F.col("c_nationkey") == F.col("side1_key"))
         .join(named("side2"), F.col("s_nationkey") == F.col("side2_key"))
@@ -86,9 +86,9 @@ def performances(spark: SparkSession, folder: str) -> DataFrame:
     )
     team = nation.select(F.col("n_nationkey").alias("team_key"), F.col("n_name").alias("team"))
     lines = table(spark, folder, "lineitem")
+    placed = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return (
-        lines.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(F.broadcast(home), F.col("c_nationkey") == F.col("home_key"))
         .join(F.broadcast(team), F.col("s_nationkey") == F.col("team_key"))
