@@ -156,7 +156,7 @@ def score_pages(spark, folder):
     "page_rows",
     """WITH good AS (SELECT * FROM orders WHERE o_orderpriority <> '5-LOW')
        SELECT o_orderkey, innings * 1000000 AS ingest_seq, concat('Side ', o_custkey, ' Vs ', o_orderpriority) AS match,
-         CASE innings WHEN 0 THEN concat('Side ', o_custkey) ELSE o_orderpriority END AS "teamInnings",
+         CASE innings WHEN 0 THEN concat('Side ', o_custkey) ELSE o_orderpriority END AS "teamInnings", '1' AS "battingPos",
          concat(CASE innings WHEN 0 THEN 'Bat' ELSE 'Cat' END, o_custkey) AS "batsmanName", concat('c & b ', o_orderkey) AS dismissal,
          CAST(o_orderkey AS VARCHAR) AS runs, CAST(o_custkey AS VARCHAR) AS balls, '4' AS "4s", '6' AS "6s",
          concat(o_orderkey, '.5') AS "SR"

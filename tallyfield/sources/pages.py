@@ -132,8 +132,11 @@ def _score_rows(page: DataFrame, keep: Sequence[str], pick: Sequence[tuple[int,
     innings = [
         F.struct(
             F.get("_sides", F.lit(side)).alias("side"),
-            F.filter(
-                F.transform(body_rows(F.get("_tables", F.lit(table))), placed(n)), lambda r: F.size(r["_cells"]) >= cells
+            F.transform(
+                F.filter(
+                    F.transform(body_rows(F.get("_tables", F.lit(table))), placed(n)), lambda r: F.size(r["_cells"]) >= cells
+                ),
+                lambda r, i: F.struct(r["ingest_seq"].alias("ingest_seq"), r["_cells"].alias("_cells"), (i + 1).alias("_place")),
             ).alias("rows"),
         )
         for n, (table, side) in enumerate(pick)
@@ -160,11 +163,13 @@ def _player(nested: bool) -> Column:
 
 
 def batting_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
-    """One record per batting row of both innings; rows without a name link carry a ``parse_error``."""
+    """One record per batting row of both innings, numbered inside its innings; rows without a name link carry a
+    ``parse_error``."""
     rows = _score_rows(batting_pages(df, html, keep), keep, [(0, 0), (1, 1)], 8)
     name = _player(nested=True)
     return rows.select(
-        *keep, "ingest_seq", "match", F.col("side").alias("teamInnings"), name.alias("batsmanName"),
+        *keep, "ingest_seq", "match", F.col("side").alias("teamInnings"), F.col("_place").cast("string").alias("battingPos"),
+        name.alias("batsmanName"),
         *_fields(BATTING_CELLS), F.when(name.isNull(), F.lit("no player name")).alias("parse_error"),
     )
 

@@ -44,8 +44,8 @@ def test_batting_records(site):
         (1, "India Vs Pakistan", "Pakistan", "Masood", "c A & b B", "52", "2", "1", "120.0"),
     ]
     assert rows(out.where("parse_error IS NOT NULL"), "page", "parse_error") == [(1, "no player name")]
-    in_order = [r["batsmanName"] for r in out.orderBy("ingest_seq").collect()]
-    assert in_order == ["Kohli", "Sharma", "Masood", None]
+    in_order = [(r["batsmanName"], r["battingPos"]) for r in out.orderBy("ingest_seq").collect()]
+    assert in_order == [("Kohli", "1"), ("Sharma", "2"), ("Masood", "1"), (None, "2")]
 
 
 def test_bowling_sides_are_swapped(site):
