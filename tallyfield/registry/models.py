@@ -118,6 +118,25 @@ def m_linear_contrib(spark, folder):
     return models.linear_contributions(training_table(spark, folder), WEIGHTS, 0.1, ["contest_id"])
 
 
+@query(
+    "m_top_drivers_fixed",
+    f"""WITH {CONTESTS_SQL}, {PAIRS_SQL}, featured AS (
+          SELECT contest_id, {FORM1_SQL} AS side1_form, {FORM2_SQL} AS side2_form, {H2H_SQL} AS head_to_head,
+                 {VENUE_SQL} AS venue_record, CAST({NEUTRAL_SQL} AS DOUBLE) AS neutral_venue, side1_won
+          FROM paired WINDOW {WINDOWS_SQL}),
+        parts AS ({" UNION ALL ".join(
+            f"SELECT contest_id, '{n}' AS feature, CAST({w} AS DOUBLE) * {n} AS contribution FROM featured "
+            "WHERE side1_won IS NOT NULL AND side1_form IS NOT NULL AND side2_form IS NOT NULL" for n, w in WEIGHTS.items())})
+        SELECT contest_id, feature, contribution FROM (
+          SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY abs(contribution) DESC, feature) AS rank FROM parts)
+        WHERE rank <= 2""",
+)
+def m_top_drivers_fixed(spark, folder):
+    """The two features that move each prediction most, for fixed coefficients."""
+    drivers = models.top_drivers(m_linear_contrib(spark, folder), ["contest_id"])
+    return drivers.select("contest_id", "feature", "contribution")
+
+
 @query("m_logreg")
 def m_logreg(spark, folder):
     """Fitted coefficients, highest first."""
