@@ -251,9 +251,11 @@ def clean_bowling(spark, folder):
 @query(
     "clean_players",
     """SELECT c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN NULL ELSE c_mktsegment END AS team,
-         1 AS ingest_seq FROM customer""",
+         1 AS ingest_seq FROM customer
+       UNION ALL SELECT c_name, 'later', 2 FROM customer""",
 )
 def clean_players(spark, folder):
+    """First record per player and team: the later records name another team, and of those the first stays too."""
     raw = table(spark, folder, "customer").selectExpr(
         f"{SPOILT_NAME} AS name",
         "CASE c_mktsegment WHEN 'BUILDING' THEN 'nan' ELSE concat(c_mktsegment, ' ') END AS team",
