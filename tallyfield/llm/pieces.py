@@ -39,8 +39,9 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BYTE_PAIR = 1, 2
 MARK, UNKNOWN_SURFACE, UNKNOWN_COST = "▁", " ⁇ ", 10.0
-#: Characters of words searched together, characters of texts split together, words remembered by a task.
-SEARCH_CHARS, SPLIT_CHARS, REMEMBERED_WORDS = 1 << 18, 1 << 21, 400_000
+#: Characters of words searched together, characters of texts split together, words remembered by a task, rows it holds
+#: encoded at once.
+SEARCH_CHARS, SPLIT_CHARS, REMEMBERED_WORDS, ROWS_AT_ONCE = 1 << 17, 1 << 20, 200_000, 256
 #: Substring hashes are polynomials in this odd base, mod 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -371,6 +372,12 @@ class PieceModel:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(begin, ROWS_AT_ONCE)
+
+
 def encoded(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
     """``docs`` with piece_ids (array of int) and decoded (the ids turned back into text); names are freed if taken."""
     model = model or PieceModel.read()
@@ -378,7 +385,7 @@ def encoded(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids = model.encode(batch.column(at).to_pylist())
             lists = pa.array(ids, pa.list_(pa.int32()))
             texts = pa.array([model.decode(i) for i in ids], pa.string())
@@ -396,7 +403,7 @@ def round_trips(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
         return None if text is None else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(1).to_pylist()
             ids = model.encode(texts)
             decoded = [model.decode(i) for i in ids]
