@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import free_name, query, table
@@ -66,15 +66,18 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (long) of ``docs(doc_id, text)``."""
+def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, passed: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (long) and the ``passed`` columns of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(shingle_hashes(t.as_py(), words_in_shingle)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *passed])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in passed]
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "fp long", *kinds])
+    return docs.select("doc_id", "text", *passed).mapInArrow(run, schema)
 
 
 class Covering:
@@ -239,33 +242,44 @@ def _links(cells: DataFrame, most_bits: int) -> DataFrame:
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(
-    docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, most_bits: int = MOST_BITS, cell_rows: int = CELL_ROWS
-) -> DataFrame:
-    """doc_id, fp (long) and component_id, the smallest doc_id reachable over links of at most ``most_bits`` bits."""
-    marked = materialise(fingerprints(docs, words_in_shingle), "simhash")
+def _groups(marked: DataFrame, most_bits: int, cell_rows: int) -> DataFrame:
+    """fp, root (smallest fingerprint of its group) and component_id of the fingerprints of ``marked(doc_id, fp)``."""
     nodes = materialise(_with_home(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), most_bits), "simhash-nodes")
     visits = materialise(_visits(nodes, _occupied(nodes), most_bits), "simhash-visits")
     links = _links(_cells(visits, cell_rows), most_bits)
     labels = connected_components(links, "simhash-links")
     members = materialise(labels.join(nodes.select(F.col("fp").alias("node"), "first_id"), "node"), "simhash-labels")
     least = members.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    joined = members.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    ids = nodes.join(joined, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    joined = members.join(least, "root").select(F.col("node").alias("fp"), "root", "least_id")
+    component = F.coalesce("least_id", "first_id").alias("component_id")
+    return nodes.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), component)
+
+
+def near_duplicates(
+    docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, most_bits: int = MOST_BITS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """doc_id, fp (long) and component_id, the smallest doc_id reachable over links of at most ``most_bits`` bits."""
+    marked = materialise(fingerprints(docs, words_in_shingle), "simhash")
+    ids = _groups(marked, most_bits, cell_rows).select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, most_bits: int = MOST_BITS) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest ``doc_id``; a group without any id keeps one row.
+    """One row of each group of near-duplicates: that of the smallest ``doc_id`` (nulls last), then fingerprint, then text.
 
-    Of repeated rows with that id the one whose text sorts first stays.
+    A row is lost only to a row of its own group, also if it has no id or the id of a row in another group.
     """
-    groups = near_duplicates(docs, words_in_shingle, most_bits)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    place = free_name(docs, "place")
-    named = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    numbered = named.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return numbered.filter(F.col(place) == 1).drop(place)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    marked = materialise(fingerprints(keyed, words_in_shingle, ("h1", "h2")), "simhash")
+    rooted = materialise(marked.join(_groups(marked, most_bits, CELL_ROWS).select("fp", "root"), "fp"), "simhash-roots")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
+    chosen = rooted.join(best, "root").filter(order == F.col("best"))
+    key, one, two, group = (free_name(docs, c) for c in ("kept_id", "kept_h1", "kept_h2", "kept_group"))
+    chosen = chosen.select(F.col("doc_id").alias(key), F.col("h1").alias(one), F.col("h2").alias(two), F.col("root").alias(group)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(one)) & (F.xxhash64(F.lit("second"), "text") == F.col(two))
+    rows = docs.join(chosen, same).groupBy(group).agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row"))
+    return rows.select("row.*")
 
 
 @query("op1_simhash_dedup")
