@@ -63,7 +63,8 @@ TOKENS = re.compile(
     r"(?is)<!--.*?(?:-->|$)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|$)|<(" + "|".join(SILENT) + r")\b[^>]*>.*?</\2\s*>"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>|<[/!?a-z][^>]*(?:>|$)"
 )
-ATTRIBUTES = re.compile(r"(?i)\b(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A whole attribute: its name, and its value if it has one.
+ATTRIBUTES = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))?)?|\"[^\"]*\"|'[^']*'")
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 GOOD, BAD, SHORT_BLOCK, NEAR = "good", "bad", "short", "near"
@@ -83,11 +84,15 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
+    seen = set()
     for kind, *values in ATTRIBUTES.findall(attributes):
-        value = next(filter(None, values), "")
-        if kind.lower() == "hidden" or kind.lower() == "role" and value.lower() in BOILERPLATE_ROLES:
+        kind, value = kind.lower(), next(filter(None, values), "")
+        if not kind or kind in seen:  # of repeated attributes the first counts
+            continue
+        seen.add(kind)
+        if kind == "hidden" or kind == "role" and value.lower() in BOILERPLATE_ROLES:
             return True
-        for name in value.split() if kind.lower() in ("class", "id") else ():
+        for name in value.split() if kind in ("class", "id") else ():
             words = [w.lower() for w in NAME_WORDS.findall(name)]
             if words and words[0] not in LAYOUT_PREFIXES:
                 ends = {words[0], words[-1]} - ({"header"} if in_article else set())
