@@ -3,8 +3,10 @@
 A page is cut into tags and text; elements that never hold article text are cut out on the way: by their tag, their role
 or the head words of their class and id names. The rest falls into blocks at block-level tags. The first pass labels
 each block by link density, length and stop-word density; short blocks stay undecided. The second pass gives undecided
-blocks the label of their nearest decided neighbours. If the page marks its article (``article``, or else ``main``), blocks
-outside it are boilerplate, and the blocks inside are text unless they are links for the most part.
+blocks the label of their nearest decided neighbours. Both passes run over every page. A mark (``article``, or
+else ``main``) only moves thresholds: it speaks for its blocks if it is the page's only one or holds a block that the first
+pass takes by itself; then they need no length or stop words, and up to half of them may be links. A card without such a block
+beside other articles is judged like the rest of the page.
 
 Character references are decoded once, white space inside a block becomes one space, blocks are joined by a line feed.
 A single ``<br>`` is white space, two in a row end a block. Each page is worked on alone; there is no shuffle.
@@ -74,7 +76,7 @@ GOOD, BAD, SHORT_BLOCK, NEAR = "good", "bad", "short", "near"
 class Block:
     text: str
     linked: int
-    inside: bool
+    mark: int  # number of the mark it stands in, 0 outside
     heading: bool
     label: str = ""
 
@@ -106,6 +108,7 @@ def blocks_of(html: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[str] = []  # open holders
     cut_at = article_at = -1  # depth at which boilerplate, or the article, began
+    n_marks = 0
     pieces: list[str] = []
     linked_pieces: list[str] = []
     in_link = heading = False
@@ -117,7 +120,7 @@ def blocks_of(html: str) -> list[Block]:
         text = " ".join(unescape("".join(pieces)).split())
         if text and cut_at < 0:
             linked = len(" ".join(unescape("".join(linked_pieces)).split()))
-            blocks.append(Block(text, linked, article_at >= 0, heading))
+            blocks.append(Block(text, linked, n_marks if article_at >= 0 else 0, heading))
         pieces.clear(), linked_pieces.clear()
         breaks = 0
 
@@ -154,6 +157,7 @@ def blocks_of(html: str) -> list[Block]:
                     cut_at = len(stack)
                 if article_at < 0 and cut_at < 0 and tag in marks:
                     article_at = len(stack)
+                    n_marks += 1
             elif tag in stack:
                 while stack.pop() != tag:
                     pass
@@ -166,12 +170,8 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def first_pass(blocks: list[Block]) -> None:
-    marked = any(b.inside for b in blocks)
     for b in blocks:
         links = b.linked / len(b.text)
-        if marked:
-            b.label = GOOD if b.inside and links <= MOST_LINKS_INSIDE else BAD
-            continue
         words = [w.strip(".,;:!?()\"'").lower() for w in b.text.split()]
         stop_words = sum(w in STOP_WORDS for w in words) / len(words)
         if links > MOST_LINKS:
@@ -182,6 +182,11 @@ def first_pass(blocks: list[Block]) -> None:
             b.label = GOOD if len(b.text) > LONG else NEAR
         else:
             b.label = NEAR if stop_words >= SOME_STOP_WORDS else BAD
+    marks = {b.mark for b in blocks} - {0}
+    trusted = marks if len(marks) == 1 else {b.mark for b in blocks if b.label == GOOD} - {0}
+    for b in blocks:
+        if b.mark in trusted:
+            b.label = GOOD if b.linked <= MOST_LINKS_INSIDE * len(b.text) else BAD
 
 
 def second_pass(blocks: list[Block]) -> None:
