@@ -8,6 +8,7 @@ from tallyfield.llm import (  # noqa: F401
     extraction,
     licenses,
     lines,
+    manifest,
     mixing,
     pieces,
     search,
