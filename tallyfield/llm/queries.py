@@ -10,6 +10,7 @@ from tallyfield.llm import (  # noqa: F401
     lines,
     manifest,
     mixing,
+    neighbours,
     pieces,
     search,
     simhash,
