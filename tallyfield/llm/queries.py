@@ -16,6 +16,7 @@ from tallyfield.llm import (  # noqa: F401
     simhash,
     sketches,
     toxicity,
+    variants,
 )
 from tallyfield.llm.common import COMPARISONS, QUERIES, query
 
