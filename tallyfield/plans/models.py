@@ -1,7 +1,9 @@
 """Win-probability models: chronological folds, two classifiers, selection, scoring, explanation.
 
-Spark ML does the fitting. The per-row explanation of a tree model is a small vectorised function applied to Arrow
-batches: it needs the row and the trees, hence no join and no shuffle.
+``train`` fits both kinds of model, on all rows and on each fold's training part, side by side: ``plans.logistic`` by
+Newton steps, ``plans.boosting`` by second-order trees. Their models are small tables. The same two kinds from Spark ML are
+there too (``fit_linear``, ``fit_trees``). The per-row explanation of a tree model is a small vectorised function applied to
+Arrow batches: it needs the row and the trees, hence no join and no shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.operators import aggregates, ordered
+from tallyfield.plans import boosting, logistic
 from tallyfield.plans.features import FEATURES, LABEL
-from tallyfield.session import enable_checkpoints, materialise
+from tallyfield.session import enable_checkpoints, fresh_path, materialise
 
 LINEAR, TREES = "logistic", "trees"
 
@@ -188,6 +191,43 @@ def cross_validate(frame: DataFrame, fitters: dict, folds: Sequence[Fold], label
     return frame.sparkSession.createDataFrame(results, "model string, fold int, rows long, accuracy double")
 
 
+#: Key of the model that is fitted on all rows.
+ALL_ROWS = 0
+
+
+def training_parts(folds: Sequence[Fold], seq: str = "seq") -> dict[int, Column]:
+    """Which rows of a numbered frame each fold's models learn from; all rows under ``ALL_ROWS``."""
+    return {ALL_ROWS: F.lit(True)} | {f.number: F.col(seq) <= f.train_rows for f in folds}
+
+
+def fit_linear_parts(numbered: DataFrame, folds: Sequence[Fold], features: Sequence[str] = FEATURES, label: str = LABEL) -> dict[int, logistic.Logistic]:
+    return logistic.fit(numbered, label, features, training_parts(folds), INVERSE_PENALTY)
+
+
+def fit_tree_parts(
+    numbered: DataFrame, folds: Sequence[Fold], features: Sequence[str] = FEATURES, label: str = LABEL, trees: int = TREE_COUNT
+) -> dict[int, boosting.Boosted]:
+    return boosting.fit(numbered, label, boosting.even_cuts(features), training_parts(folds), trees, TREE_DEPTH, TREE_STEP)
+
+
+def margin_of(model: logistic.Logistic | boosting.Boosted) -> Column:
+    """Log-odds that side 1 wins."""
+    return (logistic if isinstance(model, logistic.Logistic) else boosting).margin_of(model)
+
+
+def fold_scores(numbered: DataFrame, fitted: dict[str, dict], folds: Sequence[Fold], label: str = LABEL) -> DataFrame:
+    """(model, fold, hits, rows, accuracy) of every model on the rows its fold validates, in one pass."""
+    parts = []
+    for fold in folds:
+        guesses = [F.struct(F.lit(kind).alias("model"), (margin_of(by_fold[fold.number]) > 0).cast("int").alias("prediction")) for kind, by_fold in fitted.items()]
+        scored = fold.valid(numbered).select(label, F.array(*guesses).alias("guesses"))
+        parts.append(scored.select(F.lit(fold.number).alias("fold"), label, F.inline("guesses")))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionAll(more)
+    return accuracy(every, ["model", "fold"], label)
+
+
 def summarise(scores: DataFrame) -> DataFrame:
     """Mean and population deviation of the fold accuracies per model."""
     return scores.groupBy("model").agg(
@@ -204,37 +244,68 @@ def select_model(summary: DataFrame, baseline: str = LINEAR) -> DataFrame:
 @dataclass(frozen=True)
 class Trained:
     name: str
-    model: PipelineModel
+    model: logistic.Logistic | boosting.Boosted | PipelineModel
     metrics: DataFrame
 
 
-def train(contest_frame: DataFrame, day: str = "contest_date", tiebreak: str = "contest_id") -> Trained:
-    """Cross-validate both models, choose, fit the choice on all rows."""
+def train(contest_frame: DataFrame, day: str = "contest_date", tiebreak: str = "contest_id", trees: int = TREE_COUNT) -> Trained:
+    """Cross-validate both models, choose, and keep the choice as fitted on all rows."""
     numbered = materialise(in_time_order(contest_frame, day, tiebreak), "training")
     folds = time_folds(numbered.count())
-    scores = cross_validate(numbered, {LINEAR: fit_linear, TREES: fit_trees}, folds)
-    summary = summarise(scores)
+    fitted = {LINEAR: fit_linear_parts(numbered, folds), TREES: fit_tree_parts(numbered, folds, trees=trees)}
+    summary = materialise(summarise(fold_scores(numbered, fitted, folds)), "cv-summary")
     chosen = select_model(summary).first()["model"]
-    model = fit_linear(numbered) if chosen == LINEAR else fit_trees(numbered)
-    return Trained(chosen, model, summary.withColumn("selected", F.col("model") == chosen))
+    return Trained(chosen, fitted[chosen][ALL_ROWS], summary.withColumn("selected", F.col("model") == chosen))
+
+
+COEFFICIENTS = "feature string, mean double, deviation double, coefficient double"
+
+
+def coefficient_table(spark: SparkSession, model: logistic.Logistic) -> DataFrame:
+    """One row per feature, and one without a feature for the intercept."""
+    rows = list(zip(model.features, model.means, model.deviations, model.coefficients, strict=True))
+    return spark.createDataFrame([*rows, (None, None, None, model.intercept)], COEFFICIENTS)
+
+
+def from_coefficients(table: DataFrame, features: Sequence[str] = FEATURES) -> logistic.Logistic:
+    rows = {r["feature"]: r for r in table.collect()}
+    columns = [tuple(rows[n][c] for n in features) for c in ("mean", "deviation", "coefficient")]
+    return logistic.Logistic(tuple(features), *columns, rows[None]["coefficient"])
 
 
 def save(trained: Trained, path: str) -> None:
-    trained.model.write().overwrite().save(f"{path}/model")
-    trained.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    """The metrics and the model: tables of nodes or coefficients, or Spark's own folder for its pipelines."""
+    spark = trained.metrics.sparkSession
+    if isinstance(trained.model, PipelineModel):
+        trained.model.write().overwrite().save(f"{path}/model")
+    else:
+        linear = isinstance(trained.model, logistic.Logistic)
+        rows = coefficient_table(spark, trained.model) if linear else boosting.node_table(spark, trained.model)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/{'coefficients' if linear else 'nodes'}")
+    kind = "pipeline" if isinstance(trained.model, PipelineModel) else "tables"
+    trained.metrics.withColumn("kind", F.lit(kind)).write.mode("overwrite").parquet(f"{path}/metrics")
 
 
 def load(spark: SparkSession, path: str) -> Trained:
     metrics = spark.read.parquet(f"{path}/metrics")
-    name = metrics.where("selected").first()["model"]
-    return Trained(name, PipelineModel.load(f"{path}/model"), metrics)
+    chosen = metrics.where("selected").first()
+    if chosen["kind"] == "pipeline":
+        model = PipelineModel.load(f"{path}/model")
+    elif chosen["model"] == LINEAR:
+        model = from_coefficients(spark.read.parquet(f"{path}/coefficients"))
+    else:
+        model = boosting.from_nodes(spark.read.parquet(f"{path}/nodes"), FEATURES)
+    return Trained(chosen["model"], model, metrics.drop("kind"))
 
 
 # --- scoring and explanation -----------------------------------------------------------------------------
 
 
-def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Win probability of both sides."""
+def score(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Win probability of both sides. Boosted trees take missing features as they are."""
+    if not isinstance(model, PipelineModel):
+        scored = df.withColumn("_first", boosting.chance(margin_of(model)))
+        return scored.select(*keep, F.col("_first").alias("side1_win"), (1 - F.col("_first")).alias("side2_win"))
     first = vector_to_array("probability")[1]
     return model.transform(df).select(*keep, first.alias("side1_win"), (1 - first).alias("side2_win"))
 
@@ -336,6 +407,11 @@ def explain_trees(model: PipelineModel, df: DataFrame, keep: Sequence[str], feat
 
 
 def explain(trained: Trained, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    if isinstance(trained.model, boosting.Boosted):
+        return boosting.explain(trained.model, df, keep)
+    if isinstance(trained.model, logistic.Logistic):
+        parts = [part.alias(f"{n}_phi") for n, part in logistic.contributions(trained.model).items()]
+        return df.select(*keep, *parts, F.lit(trained.model.intercept).alias("base"))
     return (explain_linear if trained.name == LINEAR else explain_trees)(trained.model, df, keep)
 
 

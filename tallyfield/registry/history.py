@@ -246,9 +246,7 @@ def _after_sql(side: str, won: str) -> str:
       WHERE rn = 1"""
 
 
-@query(
-    "p_candidate_features",
-    f"""WITH {CONTESTS_SQL}, {PAIRS_SQL}, {CANDIDATES_SQL},
+CANDIDATE_FEATURES_SQL = f"""WITH {CONTESTS_SQL}, {PAIRS_SQL}, {CANDIDATES_SQL},
         after1 AS ({_after_sql("side1", "side1_won")}), after2 AS ({_after_sql("side2", "(1 - side1_won)")}),
         pair_days AS (SELECT low, high, contest_date, sum(count(*)) OVER w AS met, sum(sum(low_won)) OVER w AS low_wins,
             sum(sum(high_won)) OVER w AS high_wins FROM paired GROUP BY low, high, contest_date
@@ -266,8 +264,10 @@ def _after_sql(side: str, won: str) -> str:
         ASOF LEFT JOIN after1 a1 ON c.side1 = a1.side AND c.as_of > a1.contest_date
         ASOF LEFT JOIN after2 a2 ON c.side2 = a2.side AND c.as_of > a2.contest_date
         ASOF LEFT JOIN pair_days p ON c.low = p.low AND c.high = p.high AND c.as_of > p.contest_date
-        ASOF LEFT JOIN venue_days v ON c.side1 = v.side1 AND c.venue = v.venue AND c.as_of > v.contest_date""",
-)
+        ASOF LEFT JOIN venue_days v ON c.side1 = v.side1 AND c.venue = v.venue AND c.as_of > v.contest_date"""
+
+
+@query("p_candidate_features", CANDIDATE_FEATURES_SQL)
 def p_candidate_features(spark, folder):
     df = features.candidate_features(contest_table(spark, folder), candidates(spark, folder))
     known = {name: F.coalesce(name, F.lit(-1.0)) for name in ("side1_form", "side2_form")}

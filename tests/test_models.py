@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tallyfield.plans import models
+from tallyfield.plans import boosting, logistic, models
 from tallyfield.plans.features import FEATURES
 
 
@@ -155,6 +155,22 @@ def test_cross_validation_and_persistence(spark, frame, tmp_path):
     assert rows(models.score(back.model, frame, ["contest_id"])) == rows(models.score(trained.model, frame, ["contest_id"]))
 
 
+def test_training_in_one_call_and_models_as_tables(spark, frame, tmp_path):
+    trained = models.train(frame, trees=4)
+    assert {r["model"]: r["folds"] for r in trained.metrics.collect()} == {"logistic": 5, "trees": 5}
+    linear = models.Trained(models.LINEAR, logistic.fit(frame, "side1_won", FEATURES, {0: F.lit(True)})[0], trained.metrics.withColumn("selected", F.col("model") == "logistic"))
+    boosted = models.Trained(models.TREES, boosting.fit(frame, "side1_won", boosting.even_cuts(FEATURES), {0: F.lit(True)}, 4)[0], trained.metrics.withColumn("selected", F.col("model") == "trees"))
+    for k, bundle in enumerate((trained, linear, boosted)):
+        models.save(bundle, str(tmp_path / f"bundle{k}"))
+        back = models.load(spark, str(tmp_path / f"bundle{k}"))
+        assert back.name == bundle.name and back.metrics.columns == bundle.metrics.columns
+        assert rows(models.score(back.model, frame, ["contest_id"])) == rows(models.score(bundle.model, frame, ["contest_id"]))
+        phi = sum((F.col(f"{n}_phi") for n in FEATURES), F.col("base"))
+        odds = frame.select("contest_id", models.margin_of(back.model).alias("odds"))
+        both = models.explain(back, frame, ["contest_id"]).select("contest_id", phi.alias("sum")).join(odds, "contest_id")
+        assert both.count() == 600 and both.where("abs(sum - odds) > 1e-9").count() == 0
+
+
 def test_drivers_and_importance(spark):
     data = [(1, 0.1, -0.4, 0.2, 0.0, 0.4, 0.0), (2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)]
     names = ", ".join(f"{n}_phi double" for n in FEATURES)

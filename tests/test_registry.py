@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-SLOW = {"m_gbt", "m_select", "m_score", "m_shapley", "m_global_importance", "m_top_drivers", "m_confusion"}
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +43,7 @@ def test_same_rows_as_sql(spark, folder, duck, name):
     assert canonical(ours.columns, ours.collect()) == canonical(names, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_others_run(spark, folder, name):
     assert entry.queries()[name](spark, folder).count() > 0
 
