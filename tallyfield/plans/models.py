@@ -19,7 +19,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.operators import aggregates, ordered
@@ -341,25 +341,30 @@ class Leaf:
     tests: tuple[tuple[int, float, float, float], ...]
 
 
-def _leaves(node, weight: float, tests: dict[int, tuple[float, float, float]]) -> Iterator[Leaf]:
-    if node.subtreeDepth() == 0:
-        yield Leaf(node.prediction() * weight, tuple((f, *test) for f, test in tests.items()))
+def _leaves(nodes: dict[int, Row], at: int, weight: float, tests: dict[int, tuple[float, float, float]]) -> Iterator[Leaf]:
+    node = nodes[at]
+    if node["leftChild"] < 0:
+        yield Leaf(node["prediction"] * weight, tuple((f, *test) for f, test in tests.items()))
         return
-    feature, threshold = node.split().featureIndex(), node.split().threshold()
+    feature, threshold = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
     low, high, share = tests.get(feature, (-np.inf, np.inf, 1.0))
-    rows = node.impurityStats().count()
-    left, right = node.leftChild(), node.rightChild()
-    left_share, right_share = left.impurityStats().count() / rows, right.impurityStats().count() / rows
-    yield from _leaves(left, weight, {**tests, feature: (low, min(high, threshold), share * left_share)})
-    yield from _leaves(right, weight, {**tests, feature: (max(low, threshold), high, share * right_share)})
+    left, right = (nodes[node[side]]["rawCount"] / node["rawCount"] for side in ("leftChild", "rightChild"))
+    yield from _leaves(nodes, node["leftChild"], weight, {**tests, feature: (low, min(high, threshold), share * left)})
+    yield from _leaves(nodes, node["rightChild"], weight, {**tests, feature: (max(low, threshold), high, share * right)})
 
 
 def leaves_of(model: GBTClassificationModel) -> list[Leaf]:
-    """All leaves, on the log-odds scale: Spark's probability is ``1 / (1 + exp(-2 * margin))``."""
-    found: list[Leaf] = []
-    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
-        found.extend(_leaves(tree._java_obj.rootNode(), 2.0 * weight, {}))
-    return found
+    """All leaves of Spark's trees, on the log-odds scale: its probability is ``1 / (1 + exp(-2 * margin))``.
+
+    They are read from the table of nodes that Spark writes when it saves a model; it is as large as the trees.
+    """
+    spark = SparkSession.getActiveSession()
+    path = fresh_path(spark, "saved-trees")
+    model.write().save(path)
+    by_tree: dict[int, dict[int, Row]] = {}
+    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
+        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
+    return [leaf for k, weight in enumerate(model.treeWeights) for leaf in _leaves(by_tree[k], 0, 2.0 * weight, {})]
 
 
 def tree_base(leaves: Sequence[Leaf]) -> float:
