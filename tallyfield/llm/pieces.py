@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -39,9 +40,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BYTE_PAIR = 1, 2
 MARK, UNKNOWN_SURFACE, UNKNOWN_COST = "▁", " ⁇ ", 10.0
-#: Characters of words searched together, characters of texts split together, words remembered by a task, rows it holds
-#: encoded at once.
-SEARCH_CHARS, SPLIT_CHARS, REMEMBERED_WORDS, ROWS_AT_ONCE = 1 << 17, 1 << 20, 200_000, 256
+#: Characters of words searched together, of texts split together, of new words learnt together, of texts whose new words are
+#: gathered first; words remembered by a task, rows it holds encoded at once.
+SEARCH_CHARS, SPLIT_CHARS, LEARN_CHARS, GATHER_CHARS = 1 << 17, 1 << 20, 1 << 22, 1 << 24
+REMEMBERED_WORDS, ROWS_AT_ONCE = 200_000, 256
 #: Substring hashes are polynomials in this odd base, mod 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,7 +134,7 @@ class PieceModel:
                 surfaces[i] = b""
             elif k == UNKNOWN:
                 surfaces[i] = UNKNOWN_SURFACE.encode()
-        self.surfaces = surfaces
+        self.surfaces = pa.array(surfaces, pa.large_binary())
         self.bigram_keys = np.unique(np.array([ord(b[0]) << 21 | ord(b[1]) for b in self.bigrams], np.int64))
         self._known: dict[str, bytes] = {}
 
@@ -340,6 +342,32 @@ class PieceModel:
             if b > a + 1:
                 self._known[w] = b"".join([self._known[part] for part in parts[a:b]])
 
+    def _split(self, text: str | None) -> list[str]:
+        marked = (text or "").replace(" ", MARK)
+        return self.words.findall(MARK + marked if marked and self.dummy_prefix else marked)
+
+    def gather(self, slices: Iterable[list[str | None]]) -> None:
+        """Learn the words of many texts together, since the search costs least over many words of one length.
+
+        Texts are split again when they are encoded, so that no more than one slice's words are held in order. If too many words
+        are remembered, those that these texts do not use are forgotten.
+        """
+        seen: set[str] = set()
+        for texts in slices:
+            for text in texts:
+                seen.update(self._split(text))
+        if len(self._known) > REMEMBERED_WORDS:
+            self._known = {w: self._known[w] for w in seen if w in self._known}
+        new, chars = [], 0
+        for word in seen:
+            if word not in self._known:
+                new.append(word)
+                chars += len(word)
+                if chars > LEARN_CHARS:
+                    self._learn(new)
+                    new, chars = [], 0
+        self._learn(new)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Piece ids of each text."""
         out: list[np.ndarray | None] = []
@@ -349,12 +377,7 @@ class PieceModel:
             while end < len(texts) and (end == begin or chars + len(texts[end] or "") <= SPLIT_CHARS):
                 chars += len(texts[end] or "")
                 end += 1
-            if len(self._known) > REMEMBERED_WORDS:
-                self._known.clear()
-            split = []
-            for text in texts[begin:end]:
-                marked = (text or "").replace(" ", MARK)
-                split.append(self.words.findall(MARK + marked if marked and self.dummy_prefix else marked))
+            split = [self._split(text) for text in texts[begin:end]]
             known = self._known
             self._learn(list({w for words in split for w in words if w not in known}))
             for text, words in zip(texts[begin:end], split, strict=True):
@@ -365,17 +388,46 @@ class PieceModel:
             begin = end
         return out
 
+    def decode_all(self, ids: list[np.ndarray | None]) -> list[str | None]:
+        """The texts of many lists of ids, whose surfaces are taken from one table together."""
+        sizes = [0 if i is None else len(i) for i in ids]
+        flat = np.concatenate([np.zeros(0, np.int64), *(i for i in ids if i is not None)]).astype(np.int64)
+        taken = self.surfaces.take(pa.array(flat))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[np.cumsum([0, *sizes])].tolist()
+        octets = memoryview(taken.buffers()[2] or b"")
+        out: list[str | None] = []
+        for i, begin, end in zip(ids, ends, ends[1:], strict=False):
+            text = str(octets[begin:end], "utf-8", "replace")
+            out.append(None if i is None else text[1:] if self.dummy_prefix and text.startswith(" ") else text)
+        return out
+
     def decode(self, ids: np.ndarray | list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        text = b"".join(map(self.surfaces.__getitem__, np.asarray(ids, np.int64).tolist())).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.decode_all([None if ids is None else np.asarray(ids, np.int64)])[0]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of few rows, together at most ``GATHER_CHARS`` octets of text, or one row."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(begin, ROWS_AT_ONCE)
+        portion, chars, begin = [], 0, 0
+        while begin < batch.num_rows:
+            part = batch.slice(begin, ROWS_AT_ONCE)
+            size = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+            if portion and chars + size > GATHER_CHARS:
+                yield portion
+                portion, chars = [], 0
+            portion.append(part)
+            chars, begin = chars + size, begin + ROWS_AT_ONCE
+        if portion:
+            yield portion
+
+
+def _encoded_slices(batches: Iterator[pa.RecordBatch], text: int, model: PieceModel) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Each slice with its texts and their ids."""
+    for portion in _portions(batches, text):
+        model.gather(part.column(text).to_pylist() for part in portion)
+        for part in portion:
+            texts = part.column(text).to_pylist()
+            yield part, texts, model.encode(texts)
 
 
 def encoded(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
@@ -385,10 +437,9 @@ def encoded(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            ids = model.encode(batch.column(at).to_pylist())
+        for batch, _, ids in _encoded_slices(batches, at, model):
             lists = pa.array(ids, pa.list_(pa.int32()))
-            texts = pa.array([model.decode(i) for i in ids], pa.string())
+            texts = pa.array(model.decode_all(ids), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, texts], [*batch.schema.names, *names])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.StringType())])
@@ -403,10 +454,8 @@ def round_trips(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
         return None if text is None else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            texts = batch.column(1).to_pylist()
-            ids = model.encode(texts)
-            decoded = [model.decode(i) for i in ids]
+        for batch, texts, ids in _encoded_slices(batches, 1, model):
+            decoded = model.decode_all(ids)
             columns = [
                 batch.column(0),
                 pa.array([None if i is None else len(i) for i in ids], pa.int64()),
