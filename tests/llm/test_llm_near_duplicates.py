@@ -122,8 +122,9 @@ def test_components_of_long_chains_and_a_hub(spark):
 
 
 def shingles(line):
+    """Runs of eight characters from every character on; a blank line has none."""
     line = lower(line)
-    return {line[m.start() : m.start() + 8] for m in re.finditer(r"[^\x20\x09-\x0D]+", line)}
+    return {line[i : i + 8] for i in range(max(1, len(line) - 7))} if line.strip(" \t\x0b\x0c\r") else set()
 
 
 def plain_line_dedup(docs):
