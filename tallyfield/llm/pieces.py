@@ -42,7 +42,7 @@ UNIGRAM, BYTE_PAIR = 1, 2
 MARK, UNKNOWN_SURFACE, UNKNOWN_COST = "▁", " ⁇ ", 10.0
 #: Characters of words searched together, of texts split together, of new words learnt together, of texts whose new words are
 #: gathered first; words remembered by a task, rows it holds encoded at once.
-SEARCH_CHARS, SPLIT_CHARS, LEARN_CHARS, GATHER_CHARS = 1 << 17, 1 << 20, 1 << 22, 1 << 24
+SEARCH_CHARS, SPLIT_CHARS, LEARN_CHARS, GATHER_CHARS = 1 << 17, 1 << 20, 1 << 21, 1 << 23
 REMEMBERED_WORDS, ROWS_AT_ONCE = 200_000, 256
 #: Substring hashes are polynomials in this odd base, mod 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -320,10 +320,13 @@ class PieceModel:
         if not words:
             return
         text = "".join(words)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        pairs = codes[:-1] << 21 | codes[1:]
-        at = np.minimum(np.searchsorted(self.bigram_keys, pairs), len(self.bigram_keys) - 1)
-        opens = np.concatenate([[True], self.bigram_keys[at] != pairs])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        opens = np.ones(len(codes), bool)
+        for begin in range(0, len(codes) - 1, SEARCH_CHARS):  # in portions, for the sake of memory
+            some = codes[begin : begin + SEARCH_CHARS + 1].astype(np.int64)
+            pairs = some[:-1] << 21 | some[1:]
+            at = np.minimum(np.searchsorted(self.bigram_keys, pairs), len(self.bigram_keys) - 1)
+            opens[begin + 1 : begin + 1 + len(pairs)] = self.bigram_keys[at] != pairs
         firsts = np.cumsum([0, *map(len, words)])
         opens[firsts[:-1]] = True
         borders = np.concatenate([np.flatnonzero(opens), [len(codes)]])
