@@ -36,11 +36,20 @@ def dimension(df: DataFrame, columns: Sequence[str], name: str, key: str) -> Dat
     return number_names(entity_names(df, columns, name), name, key).select(key, name)
 
 
+def highest_key(df: DataFrame, key: str) -> int:
+    """Largest surrogate key in use; 0 for an empty table."""
+    return df.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"]
+
+
+def new_members(existing: DataFrame, names: DataFrame, name: str, key: str) -> DataFrame:
+    """Names that are not known yet, with keys that go on after those in use."""
+    new = names.select(name).distinct().join(existing, name, "left_anti")
+    return number_names(new, name, key, highest_key(existing, key))
+
+
 def extend_dimension(existing: DataFrame, names: DataFrame, name: str, key: str) -> DataFrame:
     """Add names that are not known yet; known ones keep their key."""
-    new = names.select(name).distinct().join(existing, name, "left_anti")
-    highest = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"]
-    return existing.unionByName(number_names(new, name, key, highest), allowMissingColumns=True)
+    return existing.unionByName(new_members(existing, names, name, key), allowMissingColumns=True)
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

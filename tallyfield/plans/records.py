@@ -74,18 +74,27 @@ def build_matches(matches: DataFrame, teams: DataFrame, order: list[str]) -> Dat
     return tables.conform(df, tables.MATCHES)
 
 
-def build_players(players: DataFrame, teams: DataFrame, order: list[str]) -> DataFrame:
-    """Player dimension, unique on (name, team)."""
+def roster(players: DataFrame, teams: DataFrame, order: list[str]) -> DataFrame:
+    """Players with their team's key, unique on (name, team), not numbered yet."""
     df = keys.lookup_key(players, teams, {"team": "team_name"}, "team_id", "team_id")
-    df = cleaning.keep_first(df, ["name", "team_id"], order)
+    return cleaning.keep_first(df, ["name", "team_id"], order)
+
+
+def number_players(df: DataFrame, start: int = 0) -> DataFrame:
+    """Player dimension from a roster; keys go on after ``start``."""
     df = df.withColumn("_identity", F.concat_ws("\u001f", "name", F.col("team_id").cast("string")))
-    df = keys.number_names(df, "_identity", "player_id").drop("_identity")
+    df = keys.number_names(df, "_identity", "player_id", start).drop("_identity")
     renamed = cleaning.rename_and_drop(
         df, {"battingStyle": "batting_style", "bowlingStyle": "bowling_style", "playingRole": "playing_role"}
     )
     return tables.conform(renamed, tables.PLAYERS)
 
 
+def build_players(players: DataFrame, teams: DataFrame, order: list[str]) -> DataFrame:
+    """Player dimension, unique on (name, team)."""
+    return number_players(roster(players, teams, order))
+
+
 def _player_keys(records: DataFrame, players: DataFrame, name: str, team_id: str, into: str) -> DataFrame:
     """Resolve a player by name and team, so that namesakes in two teams stay apart; else by a name that only one
     player has, whatever the team. ``keys.ambiguous_names`` lists the names that stay open."""

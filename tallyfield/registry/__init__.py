@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from tallyfield.registry import cleaning, elements, history, keys, models, reports, sources  # noqa: F401
+    from tallyfield.registry import cleaning, elements, history, keys, loads, models, reports, sources  # noqa: F401

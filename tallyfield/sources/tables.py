@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,20 @@ def require_inputs(spark: SparkSession, paths: Sequence[str]) -> None:
             raise
 
 
+def present_inputs(spark: SparkSession, paths: Mapping[str, str]) -> tuple[dict[str, str], list[str]]:
+    """Skip form of the gate: the inputs that are there, and the names of those that are not, each with a warning."""
+    there, absent = {}, []
+    for name, path in paths.items():
+        try:
+            require_inputs(spark, [path])
+        except MissingInput:
+            warnings.warn(f"input {name} is missing and left out: {path}", stacklevel=2)
+            absent.append(name)
+        else:
+            there[name] = path
+    return there, absent
+
+
 def write_delimited(df: DataFrame, path: str) -> None:
     exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     df.write.mode("overwrite").options(**exact).csv(path)
