@@ -204,11 +204,41 @@ def test_mixing(spark):
     for r in mixed.collect():
         taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
     for s in ("a", "b", "c", "Z", None):
-        assert taken.get(s, 0) == pytest.approx(target[s], rel=0.1)
+        assert taken.get(s, 0) == pytest.approx(target[s], abs=41)  # one document of the largest size
     assert mixed.count() == sum(r[names["copies"]] for r in found)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_few_very_uneven_documents_come_near_the_target(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, " ".join(["w"] * int(10 ** rng.uniform(0, 3))), f"s{i % 7}") for i in range(350)]
+    rows += [(None, "w " * 50, "s1"), (None, "w " * 70, "s1"), (400, "w " * 20000, "s2"), (401, "", "s3"), (402, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn, names = mixing.with_copies(docs, mixing.word_count(), seed=seed)
+    largest, taken, target = {}, {}, {}
+    for r in drawn.collect():
+        size, number = r[names["size"]], r[names["copies"]]
+        largest[r.source] = max(largest.get(r.source, 0), size)
+        taken[r.source] = taken.get(r.source, 0) + size * number
+        target[r.source] = r[names["target"]]
+        assert 0 <= number <= 3
+    for s in taken:
+        assert abs(taken[s] - target[s]) <= largest[s]
+
+
+def test_draws_keep_their_probability(spark):
+    """Over many seeds every document is taken as often as its source's rate says."""
+    rows = [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(12)]
+    each = spark.createDataFrame([(s, i, len(t.split())) for i, t, s in rows], "source string, doc_id long, size long")
+    targets = spark.createDataFrame([("a", 16, 20.0), ("b", 16, 12.0)], "source string, source_size long, target double")
+    counts = {}
+    for seed in range(24):
+        for r in mixing.extra_copies(each, targets, seed=seed).collect():
+            counts[r.source] = counts.get(r.source, 0) + 1
+    assert counts["a"] / (24 * 6) == pytest.approx(0.25, abs=0.1) and counts["b"] / (24 * 6) == pytest.approx(0.75, abs=0.1)
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e8])
 def test_search_is_exact(spark, scale):
     rng = np.random.default_rng(7)
