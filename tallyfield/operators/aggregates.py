@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,21 +48,41 @@ def value_counts(df: DataFrame, column: str, into: str = "rows") -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias(into))
 
 
+def _exact_square_excess(name: str, n: Column) -> Column:
+    """n * sum(x * x) - sum(x) ** 2 of whole numbers as double; NULL where a sum would not fit.
+
+    Each number is split into its upper and lower 32 bits, so every sum of products has room for some 10 ** 18 rows, and
+    what cancels out is taken off in whole numbers.
+    """
+    x = F.col(name).cast("long")
+    upper = F.shiftright(x, 32)
+    high, low = upper.cast("decimal(14,0)"), (x - F.shiftleft(upper, 32)).cast("decimal(14,0)")
+    sums = F.sum(high.cast("decimal(28,0)")), F.sum(low.cast("decimal(28,0)"))
+    parts = []
+    for (one, sum1), (two, sum2), factor in (
+        ((high, sums[0]), (high, sums[0]), 2**64), ((high, sums[0]), (low, sums[1]), 2**33), ((low, sums[1]), (low, sums[1]), 1),
+    ):
+        products = F.sum((one * two).cast("decimal(28,0)"))
+        excess = F.try_subtract(F.try_multiply(n, products), F.try_multiply(sum1, sum2))
+        parts.append(F.try_multiply(excess, F.lit(Decimal(factor))))
+    return F.try_add(F.try_add(parts[0], parts[1]), parts[2]).cast("double")
+
+
 def mean_and_spread(
     df: DataFrame, keys: Sequence[str], values: Sequence[str], count: str | None = None
 ) -> DataFrame:
     """Mean and population standard deviation per key, and the number of rows if ``count`` names a column for it.
 
-    Whole numbers are added up exactly, so the result does not depend on the order of the partial sums.
+    Whole numbers are added up exactly, so the result does not depend on the order of the partial sums. Where that would
+    need more than 38 digits, for billions of rows a key that use all 64 bits, the spread is merged from centred moments.
     """
     whole = {name for name, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
     outputs = []
     for name in values:
         if name in whole:
-            x = F.col(name).cast("decimal(18,0)")
-            n, total, squares = F.count(name).cast("decimal(18,0)"), F.sum(x), F.sum(x * x)
-            variance = (n * squares - total * total).cast("double") / (n * n).cast("double")
-            mean = total.cast("double") / F.count(name).cast("double")
+            n, total = F.count(name).cast("decimal(18,0)"), F.sum(F.col(name).cast("decimal(28,0)"))
+            variance = F.coalesce(_exact_square_excess(name, n) / F.nullif(n * n, F.lit(0)).cast("double"), F.var_pop(name))
+            mean = total.cast("double") / F.nullif(F.count(name), F.lit(0)).cast("double")
             outputs += [mean.alias(f"{name}_mean"), F.sqrt(variance).alias(f"{name}_std")]
         else:
             outputs += [F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std")]

@@ -12,6 +12,7 @@ from tallyfield.registry import query
 from tallyfield.registry.cleaning import SPOILT_DATE
 from tallyfield.registry.reports import WIN_RATE_SQL
 from tallyfield.session import fresh_path
+from tallyfield.sources import catalogue
 
 
 @query(
@@ -302,3 +303,52 @@ def star_bowling(spark, folder):
 def star_top5_by_venue(spark, folder):
     scores = _scores(spark, folder, "batting", "batsman_id", "team_innings_id").where("venue IS NOT NULL")
     return reports.top_scorers_by_venue(scores, "venue", ["player", "team"], "runs")
+
+
+_catalogues: dict[tuple[str, str], str] = {}
+
+
+def catalogue_star(spark, folder) -> str:
+    """Database that holds the star tables, contests and score rows in buckets."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _catalogues:
+        name = f"star_{len(_catalogues)}"
+        catalogue.store_star(spark, name, fresh_path(spark, name), star(spark, folder), buckets=8)
+        _catalogues[key] = name
+    return _catalogues[key]
+
+
+@query(
+    "list_tables",
+    f"""WITH {CONTESTS_SQL} SELECT 'batting' AS table_name, 'match_id' AS bucketed_by, count(*) AS rows FROM lineitem
+        UNION ALL SELECT 'bowling', 'match_id', count(*) FROM lineitem UNION ALL SELECT 'matches', 'match_id', count(*) FROM contests
+        UNION ALL SELECT 'players', '', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        UNION ALL SELECT 'teams', '', count(*) FROM (SELECT side1 FROM contests UNION SELECT side2 FROM contests)""",
+)
+def list_tables(spark, folder):
+    """Tables of the catalogue with what they are bucketed by and their rows."""
+    database = catalogue_star(spark, folder)
+    parts = [
+        spark.table(f"{database}.{name}").agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit(name).alias("table_name"), F.lit(columns).alias("bucketed_by"), "rows")
+        for name, columns in catalogue.describe(spark, database)
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+@query(
+    "bucketed_join",
+    f"""WITH {CONTESTS_SQL} SELECT CAST(contest_id AS VARCHAR) AS match_id, venue AS ground, count(l_quantity) AS scores,
+          CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS runs
+        FROM contests JOIN lineitem ON contest_id = l_orderkey * 10 + l_linenumber GROUP BY 1, 2""",
+)
+def bucketed_join(spark, folder):
+    """Runs of every contest: neither the join nor the sums move a row."""
+    database = catalogue_star(spark, folder)
+    matches = spark.table(f"{database}.matches").select("match_id", "ground")
+    scores = spark.table(f"{database}.batting").select("match_id", "runs")
+    both = matches.join(scores.hint("merge"), "match_id")
+    return both.groupBy("match_id", "ground").agg(F.count("runs").alias("scores"), F.sum("runs").alias("runs"))

@@ -139,8 +139,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def list_tables(spark: SparkSession) -> list[str]:
-    return sorted(table.name for table in spark.catalog.listTables())
+def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
+    return sorted(table.name for table in spark.catalog.listTables(database))
 
 
 def run_sql(spark: SparkSession, text: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:

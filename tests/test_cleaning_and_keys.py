@@ -1,9 +1,12 @@
+import statistics
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from tallyfield.operators import aggregates, cleaning, keys
 from tallyfield.plans import records, reports
+from tallyfield.sources import catalogue
 
 
 def test_keep_first_and_last(spark):
@@ -104,6 +107,32 @@ def test_spread_of_whole_and_broken_numbers(spark):
     assert out == [("g", 2.5, 1.5, 1.0, 0.5), ("h", 7.0, 0.0, 2.0, 0.0)]
 
 
+def test_spread_of_very_large_numbers(spark):
+    base = 3 * 10**15
+    data = [("g", base + i % 7) for i in range(5000)] + [("h", s * (2**63 - 1)) for s in (1, -1)] + [("n", None)]
+    df = spark.createDataFrame(data, "k string, w long")
+    g, h, n = rows(aggregates.mean_and_spread(df, ["k"], ["w"]))
+    assert g[1] == pytest.approx(base + statistics.fmean(i % 7 for i in range(5000)), rel=1e-15)
+    assert g[2] == pytest.approx(statistics.pstdev(i % 7 for i in range(5000)), rel=1e-9)
+    assert h[1:] == (0.0, pytest.approx(2.0**63, rel=1e-12)) and n[1:] == (None, None)
+    many = spark.range(40).select(F.lit("g").alias("k"), (F.lit(2**62) + F.col("id") * 2**50).alias("w"))
+    ((_, _, spread),) = rows(aggregates.mean_and_spread(many, ["k"], ["w"]))
+    assert spread == pytest.approx(statistics.pstdev(i * 2**50 for i in range(40)), rel=1e-9)
+
+
+def test_bucketed_tables_join_and_group_without_a_shuffle(spark, tmp_path):
+    games = spark.range(200).selectExpr("CAST(id AS STRING) AS match_id", "id % 3 AS ground")
+    scores = spark.range(600).selectExpr("CAST(id % 200 AS STRING) AS match_id", "id AS runs")
+    teams = spark.createDataFrame([(1, "A")], "team_id long, team_name string")
+    stored = catalogue.store_star(spark, "bucket_test", str(tmp_path / "db"), {"matches": games, "batting": scores, "teams": teams}, 4)
+    total = stored["matches"].join(stored["batting"].hint("merge"), "match_id").groupBy("match_id").agg(F.sum("runs").alias("runs"))
+    assert "Exchange" not in total._jdf.queryExecution().executedPlan().toString()
+    assert total.count() == 200 and total.agg(F.sum("runs")).first()[0] == sum(range(600))
+    assert catalogue.describe(spark, "bucket_test") == [("batting", "match_id"), ("matches", "match_id"), ("teams", "")]
+    again = catalogue.store_star(spark, "bucket_test", str(tmp_path / "db"), {"matches": games.limit(5)}, 4)
+    assert again["matches"].count() == 5
+
+
 def test_group_limit_runs_before_the_shuffle(spark, folder):
     from tallyfield.registry import QUERIES, load_all
 
