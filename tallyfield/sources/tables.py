@@ -140,7 +140,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
-    return sorted(table.name for table in spark.catalog.listTables(database))
+    """Tables and temporary views in use; with ``database`` that database's own tables only."""
+    return sorted(t.name for t in spark.catalog.listTables(database) if not (database and t.isTemporary))
 
 
 def run_sql(spark: SparkSession, text: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:

@@ -128,6 +128,7 @@ def test_bucketed_tables_join_and_group_without_a_shuffle(spark, tmp_path):
     total = stored["matches"].join(stored["batting"].hint("merge"), "match_id").groupBy("match_id").agg(F.sum("runs").alias("runs"))
     assert "Exchange" not in total._jdf.queryExecution().executedPlan().toString()
     assert total.count() == 200 and total.agg(F.sum("runs")).first()[0] == sum(range(600))
+    games.createOrReplaceTempView("passing_view")
     assert catalogue.describe(spark, "bucket_test") == [("batting", "match_id"), ("matches", "match_id"), ("teams", "")]
     again = catalogue.store_star(spark, "bucket_test", str(tmp_path / "db"), {"matches": games.limit(5)}, 4)
     assert again["matches"].count() == 5
