@@ -23,31 +23,43 @@ _INNINGS = (
 _PAGE = "<html><body><section><div><span><span>%s</span></span></div></li>" + _INNINGS + _INNINGS + "</section></body></html>"
 
 
+def rendered(template, *values):
+    """The template with each value in the place of a ``%s``; a missing one is written as null, as by a formatter."""
+    first, *others = template.split("%s")
+    pieces = [F.lit(first)]
+    for value, text in zip(values, others, strict=True):
+        pieces += [F.coalesce(value.cast("string"), F.lit("null")), F.lit(text)]
+    return F.concat(*pieces)
+
+
+def _sheets(spark, folder):
+    """The lines of each order, a handful, as numbers; markup is made after they were shuffled."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    return lines.agg(F.sort_array(F.collect_list(line)).alias("lines"))
+
+
 def score_pages(spark, folder):
     """A page per order; its odd lines bat first, its even ones second. Orders of the lowest priority lack the heading."""
 
     def build():
-        lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        key, number, part, supplier = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-        batter = F.format_string(_BATTER, part, part, supplier, part, number, part)
-        bowler = F.format_string(_BOWLER, supplier, supplier)
-
         def joined(odd, fragment):
-            mine = F.when(number % 2 == (1 if odd else 0), F.struct(number, part, supplier, fragment.alias("markup")))
-            ordered = F.sort_array(F.collect_list(mine))
-            return F.array_join(F.transform(ordered, lambda line: line["markup"]), "")
-
-        # An order has a handful of lines.
-        sheets = lines.groupBy(key.alias("o_orderkey")).agg(
-            joined(True, batter).alias("bat1"), joined(True, bowler).alias("bowl1"),
-            joined(False, batter).alias("bat2"), joined(False, bowler).alias("bowl2"),
-        )
+            mine = F.filter("lines", lambda line: line["l_linenumber"] % 2 == (1 if odd else 0))
+            return F.array_join(F.transform(mine, fragment), "")
+
+        def batter(line):
+            part, supplier = line["l_partkey"], line["l_suppkey"]
+            return rendered(_BATTER, part, part, supplier, part, line["l_linenumber"], part)
+
+        def bowler(line):
+            return rendered(_BOWLER, line["l_suppkey"], line["l_suppkey"])
+
         heading = F.when(F.col("o_orderpriority") == "5-LOW", "Overview").otherwise("Match Details")
-        page = F.format_string(
-            _PAGE, heading, F.concat(F.lit("Side "), F.col("o_custkey").cast("string")), "bat1", "bowl1",
-            F.concat("o_orderpriority", F.lit(" Innings")), "bat2", "bowl2",
+        page = rendered(
+            _PAGE, heading, F.concat(F.lit("Side "), F.col("o_custkey").cast("string")), joined(True, batter), joined(True, bowler),
+            F.concat("o_orderpriority", F.lit(" Innings")), joined(False, batter), joined(False, bowler),
         )
-        return table(spark, folder, "orders").join(sheets, "o_orderkey").select("o_orderkey", page.alias("html"))
+        return table(spark, folder, "orders").join(_sheets(spark, folder), "o_orderkey").select("o_orderkey", page.alias("html"))
 
     return stored(spark, folder, "tree-pages", build)
 
@@ -117,9 +129,10 @@ _RESULT = (
 )
 def tree_match_rows(spark, folder):
     day = F.date_format("o_orderdate", "MMM d, yyyy")
-    page = F.format_string(_RESULT, "o_custkey", "o_orderpriority", "o_custkey", "o_custkey", day, "o_orderkey", "o_orderkey")
-    rendered = table(spark, folder, "orders").select("o_orderkey", page.alias("html"))
-    return elements.result_records(rendered, "html", ["o_orderkey"])
+    custom, order = F.col("o_custkey"), F.col("o_orderkey")
+    page = rendered(_RESULT, custom, F.col("o_orderpriority"), custom, custom, day, order, order)
+    made = table(spark, folder, "orders").select("o_orderkey", page.alias("html"))
+    return elements.result_records(made, "html", ["o_orderkey"])
 
 
 _PROFILE = (

@@ -12,10 +12,13 @@ length for a bounded depth of nested tables.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,83 +36,159 @@ PARSED = (
 )
 PAGES_AT_ONCE = 32
 
-# Elements without content, and how deep the parts of a table lie.
+# Elements without content, elements that hold text only, and how deep the parts of a table lie.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+RAW_TEXT = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
+FREQUENT = frozenset(["", "a", "div", "p", "span", "td", "tr"])
 TABLE_PARTS = {"table": 0, "thead": 1, "tbody": 1, "tfoot": 1, "tr": 2, "td": 3, "th": 3}
+#: A plain start or end tag and the text after it, or an element without others inside and the text after that.
+#: Attributes are quoted. No part is tried twice.
+_NAME, _GAP, _VALUE = "[A-Za-z][A-Za-z0-9]*+", r"[ \t\n\r\f]", """(?:"[^"<>]*+"|'[^'<>]*+')"""
+TAG = re.compile(f"<(?:/({_NAME}){_GAP}*+|({_NAME})((?:{_GAP}++[A-Za-z][A-Za-z0-9_:-]*+={_VALUE})*+){_GAP}*+/?)>([^<]*+)(?:</(\\2){_GAP}*+>([^<]*+))?")
+ATTRIBUTE = re.compile("""([A-Za-z][A-Za-z0-9_:-]*+)=(?:"([^"]*+)"|'([^']*+)')""")
 
 
-class Elements(HTMLParser):
-    """Elements of one page in page order; an element's descendants are the numbers up to its ``end``."""
+class _Tolerant(HTMLParser):
+    """Tokens of a page whose markup is not plain: comments, declarations, scripts, bare values, stray brackets."""
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags: list[str] = []
-        self.attributes: list[dict[str, str | None]] = []
-        self.parents: list[int] = []
-        self.ends: list[int] = []
-        self.texts: list[tuple[int, int]] = []
-        self.pieces: list[str] = []
-        self.places: dict[str, list[int]] = defaultdict(list)
-        self._open: list[int] = []
-        self._open_tags: Counter[str] = Counter()
-        self._open_parts: list[int] = []
+        self.tokens: list[list] = [["", "", {}, "", "", ""]]
         self.feed(html)
         self.close()
-        while self._open:
-            self._leave()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        depth = TABLE_PARTS.get(tag, 0)
-        if depth:
-            while self._open_parts and TABLE_PARTS[self.tags[self._open_parts[-1]]] >= depth:
-                self._leave_through(self._open_parts[-1])
-        number = len(self.tags)
-        self.tags.append(tag)
-        self.attributes.append(dict(attrs))
-        self.parents.append(self._open[-1] if self._open else -1)
-        self.ends.append(number + 1)
-        self.texts.append((len(self.pieces), len(self.pieces)))
-        self.places[tag].append(number)
-        if tag not in VOID:
-            self._open.append(number)
-            self._open_tags[tag] += 1
-            if tag in TABLE_PARTS:
-                self._open_parts.append(number)
+        self.tokens.append(["", tag, dict(attrs), "", "", ""])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if self._open_tags[tag]:
-            while self.tags[self._leave()] != tag:
-                pass
+        self.tokens.append([tag, "", {}, "", "", ""])
 
     def handle_data(self, data: str) -> None:
-        if not (self._open and self.tags[self._open[-1]] in ("script", "style")):
-            self.pieces.append(data)
-
-    def _leave(self) -> int:
-        number = self._open.pop()
-        self._open_tags[self.tags[number]] -= 1
-        if self._open_parts and self._open_parts[-1] == number:
-            self._open_parts.pop()
-        self.ends[number] = len(self.tags)
-        self.texts[number] = (self.texts[number][0], len(self.pieces))
-        return number
-
-    def _leave_through(self, number: int) -> None:
-        while self._leave() != number:
-            pass
+        # Text is in one piece but for rare markup; each further piece is a token of its own, so none is copied twice.
+        if self.tokens[-1][3]:
+            self.tokens.append(["", "", {}, data, "", ""])
+        else:
+            self.tokens[-1][3] = data
+
+
+def _tokens(html: str) -> tuple[Sequence[Sequence], bool]:
+    """(end tag, start tag, attributes, text after it, end tag right after that, text after that) in page order, and
+    whether the markup is plain.
+
+    One pattern reads plain tags. A match has an opening bracket for each of its tags, so if they add up to those of the
+    page, the matches cover it; attributes and texts are as written then.
+    """
+    plain = TAG.findall(html)
+    whole = len(plain) + sum(1 for token in plain if token[4]) == html.count("<")
+    if whole and RAW_TEXT.isdisjoint([token[1].lower() for token in plain if token[1] not in FREQUENT]):
+        lead = html.find("<")
+        return [("", "", "", html[:lead] if lead >= 0 else html, "", ""), *plain], True
+    return _Tolerant(html).tokens, False
+
+
+class Elements:
+    """Elements of one page in page order; an element's descendants are the numbers up to its ``end``."""
+
+    def __init__(self, html: str) -> None:
+        self.tags: list[str] = []
+        self.attributes: list[str | dict[str, str | None]] = []
+        self.parents: list[int] = []
+        self.ends: list[int] = []
+        self.begins: list[int] = []
+        self.stops: list[int] = []
+        self.pieces: list[str] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self._read(*_tokens(html))
+
+    def _read(self, tokens: Sequence[Sequence], plain: bool) -> None:
+        tags, pieces, ends, stops, places = self.tags, self.pieces, self.ends, self.stops, self.places
+        attributes, parents, begins = self.attributes, self.parents, self.begins
+        opened = [-1]
+        open_tags: dict[str, int] = defaultdict(int)
+        open_parts: list[int] = []
+
+        def leave() -> int:
+            number = opened.pop()
+            open_tags[tags[number]] -= 1
+            if open_parts and open_parts[-1] == number:
+                open_parts.pop()
+            ends[number], stops[number] = len(tags), len(pieces)
+            return number
+
+        # Numbers of tags and pieces so far are kept beside the lists; this loop sees every tag of every page.
+        number = texts = 0
+        for end, start, given, text, closed, after in tokens:
+            if start:
+                tag = start.lower()
+                depth = TABLE_PARTS.get(tag)
+                if depth:
+                    while open_parts and TABLE_PARTS[tags[open_parts[-1]]] >= depth:
+                        part = open_parts[-1]
+                        while leave() != part:
+                            pass
+                parents.append(opened[-1])
+                tags.append(tag)
+                attributes.append(given)
+                begins.append(texts)
+                stops.append(texts)
+                places[tag].append(number)
+                if closed:
+                    number += 1
+                    ends.append(number)
+                    if text:
+                        pieces.append(unescape(text) if "&" in text else text)
+                        texts += 1
+                        if tag not in VOID:
+                            stops[-1] = texts
+                    if after:
+                        pieces.append(unescape(after) if "&" in after else after)
+                        texts += 1
+                    continue
+                if tag not in VOID:
+                    opened.append(number)
+                    open_tags[tag] += 1
+                    if depth is not None:
+                        open_parts.append(number)
+                number += 1
+                ends.append(number)
+            elif end:
+                tag = end.lower()
+                if open_tags.get(tag):
+                    while tags[leave()] != tag:
+                        pass
+            if text:
+                if plain:
+                    pieces.append(unescape(text) if "&" in text else text)
+                    texts += 1
+                elif opened[-1] < 0 or tags[opened[-1]] not in ("script", "style"):
+                    pieces.append(text)
+                    texts += 1
+        while len(opened) > 1:
+            leave()
 
     def text(self, number: int | None) -> str | None:
-        return None if number is None else "".join(self.pieces[slice(*self.texts[number])])
+        if number is None:
+            return None
+        begin, stop = self.begins[number], self.stops[number]
+        return self.pieces[begin] if stop == begin + 1 else "".join(self.pieces[begin:stop])
+
+    def attribute(self, number: int, name: str) -> str | None:
+        """Value of an attribute; the last of equal names counts."""
+        found = self.attributes[number]
+        if isinstance(found, str):
+            found = {key.lower(): unescape(one or other) for key, one, other in ATTRIBUTE.findall(found)}
+            self.attributes[number] = found
+        return found.get(name)
 
     def classes(self, number: int) -> list[str]:
-        return (self.attributes[number].get("class") or "").split()
+        return (self.attribute(number, "class") or "").split() if self.attributes[number] else []
 
     def first(self, tag: str, inside: int | None) -> int | None:
         """First descendant of that kind."""
-        if inside is None:
+        if inside is None or self.ends[inside] == inside + 1:
             return None
         places = self.places[tag]
         at = bisect_right(places, inside)
@@ -163,19 +242,28 @@ def _divs_around(page: Elements, number: int) -> Iterator[int]:
 
 
 def _cells(page: Elements, row: int) -> list[dict]:
-    cells = []
-    for cell in page.children("td", row):
+    cells, ends, parents, places = [], page.ends, page.parents, page.places["td"]
+    for at in range(bisect_right(places, row), bisect_left(places, ends[row])):
+        cell = places[at]
+        if parents[cell] != row:
+            continue
+        if ends[cell] == cell + 1:
+            cells.append({"text": page.text(cell), "link": None, "spans": []})
+            continue
         link = page.first("a", cell)
         outer = page.first("span", link)
         spans = [page.text(span) for span in (outer, page.first("span", outer)) if span is not None]
-        href = page.attributes[link].get("href") if link is not None else None
+        href = page.attribute(link, "href") if link is not None else None
         cells.append({"text": page.text(cell), "link": href, "spans": spans})
     return cells
 
 
-def _tables(page: Elements) -> list[dict]:
+def _tables(page: Elements, wanted: str | None = None) -> list[dict]:
     found = []
     for table in page.places["table"]:
+        classes = page.classes(table)
+        if wanted is not None and wanted not in classes:
+            continue
         parent = page.parents[table]
         rows = [
             {"classes": page.classes(row), "cells": _cells(page, row)}
@@ -183,7 +271,7 @@ def _tables(page: Elements) -> list[dict]:
             for row in page.children("tr", body)
         ]
         inside_div = parent >= 0 and page.tags[parent] == "div"
-        found.append({"classes": page.classes(table), "inside_div": inside_div, "rows": rows})
+        found.append({"classes": classes, "inside_div": inside_div, "rows": rows})
     return found
 
 
@@ -206,7 +294,8 @@ def _about(page: Elements) -> str:
     return ""
 
 
-def read_page(html: str | None) -> dict:
+def read_page(html: str | None, wanted: str | None = None) -> dict:
+    """What a page holds, with its tables of the class ``wanted``, or all of them."""
     page = Elements(html or "")
     heads = page.places["h1"]
     return {
@@ -214,12 +303,26 @@ def read_page(html: str | None) -> dict:
         "sides": _sides(page),
         "details": list(_details(page).items()),
         "about": _about(page),
-        "tables": _tables(page),
+        "tables": _tables(page, wanted),
     }
 
 
-def parsed(df: DataFrame, html: str, keep: Sequence[str], into: str = "_page") -> DataFrame:
-    """``keep`` and one nested column with what the page holds. Pages are parsed a few at a time, never held as a group."""
+def _column(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """An Arrow array, level by level: a struct from its fields' columns, a list from its values of all rows."""
+    if pa.types.is_struct(kind):
+        fields = [_column([value[field.name] for value in values], field.type) for field in kind]
+        return pa.StructArray.from_arrays(fields, fields=list(kind))
+    if pa.types.is_list(kind):
+        offsets = pa.array([0, *accumulate(map(len, values))], pa.int32())
+        return pa.ListArray.from_arrays(offsets, _column(list(chain.from_iterable(values)), kind.value_type), type=kind)
+    return pa.array(values, kind)
+
+
+def parsed(df: DataFrame, html: str, keep: Sequence[str], into: str = "_page", wanted: str | None = None) -> DataFrame:
+    """``keep`` and one nested column with what the page holds. Pages are parsed a few at a time, never held as a group.
+
+    Rows and cells are handed back for tables of the class ``wanted`` only, if one is given.
+    """
     source = df.select(*keep, F.col(html).cast("string").alias(into))
     schema = StructType.fromDDL(f"{into} {PARSED}")
     target = StructType([*source.schema.fields[:-1], schema[0]])
@@ -231,7 +334,7 @@ def parsed(df: DataFrame, html: str, keep: Sequence[str], into: str = "_page") -
         for batch in batches:
             for start in range(0, batch.num_rows, PAGES_AT_ONCE):
                 few = batch.slice(start, PAGES_AT_ONCE)
-                trees = pa.array([read_page(text.as_py()) for text in few.column(few.num_columns - 1)], kind)
+                trees = _column([read_page(text.as_py(), wanted) for text in few.column(few.num_columns - 1)], kind)
                 yield pa.RecordBatch.from_arrays([*few.columns[:-1], trees], names=few.schema.names)
 
     return source.mapInArrow(read, target)
@@ -242,7 +345,7 @@ def _tables_with(name: str) -> Column:
 
 
 def _checked(df: DataFrame, html: str, keep: Sequence[str], name: str, minimum: int) -> DataFrame:
-    page = parsed(df, html, keep).select(*keep, F.col("_page.sides").alias("_sides"), _tables_with(name).alias("_tables"))
+    page = parsed(df, html, keep, wanted=name).select(*keep, F.col("_page.sides").alias("_sides"), _tables_with(name).alias("_tables"))
     reason = F.when(F.size("_sides") < 2, "no side names").when(F.size("_tables") < minimum, "too few tables")
     return page.withColumn("parse_error", reason)
 
@@ -299,7 +402,7 @@ def result_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """Rows of the results tables as seven text fields, with the link in the last of them."""
     listed = F.filter("_page.tables", lambda t: F.array_contains(t["classes"], pages.RESULTS_TABLE))
     rows = F.flatten(F.transform(listed, lambda t: F.filter(t["rows"], lambda r: F.array_contains(r["classes"], pages.RESULTS_ROW))))
-    every = parsed(df, html, keep).select(*keep, F.posexplode(rows).alias("_seq", "_row"))
+    every = parsed(df, html, keep, wanted=pages.RESULTS_TABLE).select(*keep, F.posexplode(rows).alias("_seq", "_row"))
     full = every.select(*keep, F.col("_seq").cast("long").alias("ingest_seq"), F.col("_row.cells").alias("cells"))
     link = F.get("cells", F.lit(pages.RESULT_CELLS["scorecard"]))["link"].alias("link")
     return full.where(F.size("cells") >= len(pages.RESULT_CELLS)).select(*keep, "ingest_seq", *_fields(pages.RESULT_CELLS), link)

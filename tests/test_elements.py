@@ -69,6 +69,28 @@ def test_large_page_of_many_rows():
     assert len(found["rows"]) == 5000 and time.monotonic() - began < 10
 
 
+def test_plain_and_tolerant_reading_agree():
+    """A comment at the end sends the same page through the tolerant parser."""
+    odd = "<DIV Class='a b' id=\"x&amp;y\">t&eacute;</DIV><br/>x</br><table class=t><tr><td>1<td>2</td >3<td/>4</table>"
+    for html in (page(), page().replace("<td>", "<TD>"), odd.replace("=t", "='t'"), "no tag &amp; &lt", "a<p>b</p>c", "<td>1</td><p", odd):
+        assert elements.read_page(html) == elements.read_page(html + "<!-- -->")
+    assert [plain for _, plain in map(elements._tokens, (page(), odd, "<p>x</p>", "<title>x</title>", "<p>1 < 2"))] == [True, False, True, False, False]
+
+
+def test_tables_of_one_class_only(spark):
+    html = "<table class='a b'><tbody><tr><td>1</td></tr></tbody></table><table class='c'></table>"
+    read = elements.parsed(spark.createDataFrame([(html,), (None,)], "html string"), "html", [], wanted="b")
+    assert [r[0] for r in read.selectExpr("transform(_page.tables, t -> t.classes)").collect()] == [[["a", "b"]], []]
+
+
+def test_score_pages_shuffle_no_markup(spark, folder):
+    """Lines are gathered by their numbers; markup in the exchange is twenty times as much."""
+    from tallyfield.registry.elements import _sheets
+
+    plan = _sheets(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "<td>" not in plan and "format_string" not in plan
+
+
 def test_profile_takes_the_first_of_equal_labels(spark):
     grid = '<div class="ds-grid"><div><p>Batting Style</p><span>Left</span></div><div><p>Batting Style</p><span>Right</span></div></div>'
     df = spark.createDataFrame([(1, grid), (2, None)], "id int, html string")
