@@ -10,6 +10,7 @@ from tallyfield.registry import query
 from tallyfield.sources import elements
 
 SITE = "https://site.example"
+PARTS_A_CORE = 4
 
 _BATTER = (
     '<tr><td><a href="/player/%s"><span><span>Andr&eacute; O&#8217;Brien&nbsp;%s</span></span></a></td><td><span><span>b %s<table><tbody>'
@@ -131,7 +132,10 @@ def tree_match_rows(spark, folder):
     day = F.date_format("o_orderdate", "MMM d, yyyy")
     custom, order = F.col("o_custkey"), F.col("o_orderkey")
     page = rendered(_RESULT, custom, F.col("o_orderpriority"), custom, custom, day, order, order)
-    made = table(spark, folder, "orders").select("o_orderkey", page.alias("html"))
+    # One file of few row groups would be parsed by as many tasks; the columns that a page is made of are dealt out first.
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    dealt = orders.repartition(PARTS_A_CORE * spark.sparkContext.defaultParallelism)
+    made = dealt.select("o_orderkey", page.alias("html"))
     return elements.result_records(made, "html", ["o_orderkey"])
 
 

@@ -91,6 +91,12 @@ def test_score_pages_shuffle_no_markup(spark, folder):
     assert "collect_list" in plan and "<td>" not in plan and "format_string" not in plan
 
 
+def test_results_are_parsed_by_all_cores(spark, folder):
+    from tallyfield.registry.elements import tree_match_rows
+
+    assert tree_match_rows(spark, folder).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
 def test_profile_takes_the_first_of_equal_labels(spark):
     grid = '<div class="ds-grid"><div><p>Batting Style</p><span>Left</span></div><div><p>Batting Style</p><span>Right</span></div></div>'
     df = spark.createDataFrame([(1, grid), (2, None)], "id int, html string")
