@@ -313,7 +313,8 @@ def catalogue_star(spark, folder) -> str:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _catalogues:
         name = f"star_{len(_catalogues)}"
-        catalogue.store_star(spark, name, fresh_path(spark, name), star(spark, folder), buckets=8)
+        tables = star(spark, folder)
+        catalogue.store_star(spark, name, fresh_path(spark, name), tables, catalogue.bucket_count(tables, least=8))
         _catalogues[key] = name
     return _catalogues[key]
 

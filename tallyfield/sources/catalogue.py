@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.sources import tables
 
+#: Rows that a bucket of the longest table holds on average, at most. One task sorts a bucket.
+ROWS_A_BUCKET = 500_000
+
 
 def open_database(spark: SparkSession, database: str, path: str) -> None:
     """Database whose tables live below ``path``, a folder that all executors reach."""
@@ -29,6 +32,12 @@ def store_bucketed(df: DataFrame, database: str, name: str, keys: Sequence[str],
     return df.sparkSession.table(f"`{database}`.`{name}`")
 
 
+def bucket_count(star: Mapping[str, DataFrame], least: int, rows: int = ROWS_A_BUCKET) -> int:
+    """Buckets for the tables of a star that are bucketed by contest, more for longer ones. Hand in stored tables: they are counted."""
+    longest = max((df.count() for df in star.values() if "match_id" in df.columns), default=0)
+    return max(least, -(-longest // rows))
+
+
 def store_star(spark: SparkSession, database: str, path: str, star: Mapping[str, DataFrame], buckets: int) -> dict[str, DataFrame]:
     """Contests and score rows bucketed by contest; teams and players as plain tables."""
     open_database(spark, database, path)

@@ -134,6 +134,12 @@ def test_bucketed_tables_join_and_group_without_a_shuffle(spark, tmp_path):
     assert again["matches"].count() == 5
 
 
+def test_longer_tables_get_more_buckets(spark):
+    star = {"matches": spark.range(40).selectExpr("id AS match_id"), "batting": spark.range(101).selectExpr("id AS match_id"), "teams": spark.range(9999)}
+    assert [catalogue.bucket_count(star, 4, rows) for rows in (1000, 25, 10)] == [4, 5, 11]
+    assert catalogue.bucket_count({"teams": star["teams"]}, 4) == 4
+
+
 def test_group_limit_runs_before_the_shuffle(spark, folder):
     from tallyfield.registry import QUERIES, load_all
 
