@@ -75,16 +75,27 @@ def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int = BINS) -> d
     return {n: sorted(set(row[n] or [])) for n in features}
 
 
-def bin_of(value: Column, cuts: Sequence[float]) -> Column:
-    """Number of cuts that the value reaches; -1 if it is missing."""
-    reached = reduce(lambda a, b: a + b, [(value >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
-    return F.when(value.isNull() | F.isnan(value), -1).otherwise(reached)
+def bins_of(cuts: Mapping[str, Sequence[float]]) -> Column:
+    """For each feature the number of its cuts that the value reaches; -1 if it is missing.
+
+    A search in the sorted cuts over Arrow batches: comparisons with every cut, written as columns, grow past what the JVM compiles.
+    """
+    lists, names = [np.sort(np.asarray(c, float)) for c in cuts.values()], [f"b{j}" for j in range(len(cuts))]
+
+    @F.pandas_udf(", ".join(f"{n} int" for n in names))
+    def placed(*columns: pd.Series) -> pd.DataFrame:
+        values = [c.to_numpy("float64", na_value=np.nan) for c in columns]
+        places = [np.where(np.isnan(v), -1, np.searchsorted(c, v, "right")).astype("int32") for v, c in zip(values, lists, strict=True)]
+        return pd.DataFrame(dict(zip(names, places, strict=True)))
+
+    found = placed(*[F.col(name).cast("double") for name in cuts])
+    return F.array(*[found[n] for n in names])
 
 
 def cells_of(rows: DataFrame, cuts: Mapping[str, Sequence[float]], label: str, models: Mapping[int, Column]) -> DataFrame:
     """(model, bins, n, positives) of the bin combinations that occur among each model's training rows."""
     binned = rows.filter(F.col(label).isNotNull()).select(
-        F.array(*[bin_of(F.col(name).cast("double"), c) for name, c in cuts.items()]).alias("bins"),
+        bins_of(cuts).alias("bins"),
         F.col(label).cast("long").alias("positive"),
         *[F.coalesce(condition, F.lit(False)).alias(f"in_{k}") for k, condition in models.items()],
     )
@@ -395,8 +406,7 @@ def background(model: Boosted, rows: DataFrame) -> list[np.ndarray]:
         n: sorted({float(model.threshold[at]) for at in np.ndindex(model.feature.shape) if model.feature[at] == f} - {np.inf})
         for f, n in enumerate(model.features)
     }
-    bins = F.array(*[bin_of(F.col(n).cast("double"), c) for n, c in cuts.items()])
-    cells = rows.select(bins.alias("bins")).groupBy("bins").agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.select(bins_of(cuts).alias("bins")).groupBy("bins").agg(F.count(F.lit(1)).alias("n"))
     paths, lists = paths_of(model), list(cuts.values())
     starts = np.cumsum([0, *[2 ** len(p.features) for p in paths]])
 

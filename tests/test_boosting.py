@@ -177,3 +177,19 @@ def test_separable_labels_converge(spark):
     assert 5 < model.coefficients[0] < 1000
     right = df.filter((logistic.margin_of(model) > 0).cast("int") == F.col("won")).count()
     assert right == 10
+
+
+def test_bins_are_searched_and_not_compared_one_by_one(spark, table):
+    """As many bins as cuts reached, -1 if missing, in a plan that does not grow with the cuts."""
+    odd = spark.createDataFrame([(-1, math.inf, -math.inf, -0.0, 1), (-2, 0.125, 0.25, 1.0, 0)], table.schema)
+    found = table.union(odd).select(*NAMES, boosting.bins_of(CUTS).alias("bins")).collect()
+    for r in found:
+        for name, place in zip(NAMES, r["bins"], strict=True):
+            value = r[name]
+            assert place == (-1 if value is None or math.isnan(value) else sum(value >= c for c in CUTS[name]))
+
+    def plan(bins):
+        cuts = boosting.even_cuts(NAMES, bins)
+        return boosting.cells_of(table, cuts, "won", {0: F.lit(True)})._jdf.queryExecution().optimizedPlan().toString()
+
+    assert len(plan(32)) < 1.1 * len(plan(4))
