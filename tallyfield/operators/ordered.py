@@ -11,12 +11,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyfield.session import materialise
 
 CHUNK = "_chunk"
+#: Rows that one task sorts.
+ROWS_OF_TASK = 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Number of tasks that keeps ``ROWS_OF_TASK`` rows in each; at least one for each core.
+
+    Shuffles sized by their octets put millions of narrow, well-compressed rows into one task, which then spills.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_OF_TASK))
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -34,15 +44,20 @@ def whole(df: DataFrame) -> DataFrame:
     return df.drop(CHUNK)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str) -> DataFrame:
-    """1, 2, 3, … per key in the order of the ranges."""
+def _dealt(df: DataFrame, group: Sequence[str], partitions: int | None) -> DataFrame:
+    """Rows dealt out by group for the window that follows; Spark's own choice unless a number is given."""
+    return df.repartition(partitions, *group) if partitions else df
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str, partitions: int | None = None) -> DataFrame:
+    """1, 2, 3, … per key in the order of the ranges, in as many tasks as given."""
     group = [*keys, CHUNK]
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         *group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.lit(0).alias("_is_row")
     )
-    both = df.withColumn("_is_row", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    both = _dealt(df.withColumn("_is_row", F.lit(1)).unionByName(starts, allowMissingColumns=True), group, partitions)
     inside = Window.partitionBy(*group).orderBy("_is_row", *order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = both.withColumn(into, F.row_number().over(inside) - 1 + F.first("_start").over(running))
@@ -72,10 +87,11 @@ def rolling(
     value: str,
     frame: tuple[int, int],
     outputs: Mapping[str, Callable[[WindowSpec], Column]],
+    partitions: int | None = None,
 ) -> DataFrame:
     """Aggregates of ``value`` over a row frame that looks back, per key in the order of the ranges.
 
-    ``frame`` is ``(-k, 0)`` to include the current row or ``(-k, -1)`` to leave it out.
+    ``frame`` is ``(-k, 0)`` to include the current row or ``(-k, -1)`` to leave it out. It runs in as many tasks as given.
     """
     low, high = frame
     group, count = [*keys, CHUNK], -low
@@ -87,7 +103,7 @@ def rolling(
         .drop("back")
         .withColumn("_is_row", F.lit(0))
     )
-    both = df.withColumn("_is_row", F.lit(1)).unionByName(halo, allowMissingColumns=True)
+    both = _dealt(df.withColumn("_is_row", F.lit(1)).unionByName(halo, allowMissingColumns=True), group, partitions)
     window = Window.partitionBy(*group).orderBy(*order).rowsBetween(low, high)
     rolled = both.withColumns({name: make(window) for name, make in outputs.items()})
     return rolled.where("_is_row = 1").drop("_is_row")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfield.operators import ordered
 from tallyfield.session import materialise
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
@@ -35,7 +36,8 @@ def unique_lines(spark: SparkSession, folder: str) -> DataFrame:
         "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
     ]
-    lines = table(spark, folder, "lineitem").repartition("l_orderkey")
+    lines = table(spark, folder, "lineitem")
+    lines = lines.repartition(ordered.tasks_for(spark, lines.count()), "l_orderkey")
     firsts = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*rest)).alias("l"))
     return firsts.select("l_orderkey", "l_linenumber", "l.*")
 

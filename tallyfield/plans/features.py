@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.outcomes import neutral_flag
 from tallyfield.operators import ordered
+from tallyfield.session import materialise
 
 FEATURES = ("side1_form", "side2_form", "head_to_head", "venue_record", "neutral_venue")
 LABEL = "side1_won"
@@ -34,9 +35,10 @@ def add_form(
     """Mean outcome of the last five contests the side was listed in the same column for, this one left out."""
     dated = df.withColumn("_won", own_outcome(side))
     order = ["contest_date", tiebreak]
+    partitions = partitions or ordered.tasks_for(df.sparkSession, df.count())
     ranges = ordered.in_ranges(dated, [side], order, partitions)
     rolled = ordered.rolling(
-        ranges, [side], order, "_won", (-length, -1), {into: ordered.mean_of("_won")}
+        ranges, [side], order, "_won", (-length, -1), {into: ordered.mean_of("_won")}, partitions
     )
     return ordered.whole(rolled).drop("_won")
 
@@ -53,9 +55,10 @@ def listed_appearances(df: DataFrame) -> DataFrame:
 def form_over_all(df: DataFrame, partitions: int | None = None, length: int = FORM_LENGTH) -> DataFrame:
     """Form over all contests of a side, in either column: (contest_id, side, role, form)."""
     long = listed_appearances(df)
+    partitions = partitions or ordered.tasks_for(df.sparkSession, 2 * df.count())
     order = ["contest_date", "contest_id", "role"]
     return ordered.rolling(
-        ordered.in_ranges(long, ["side"], order, partitions), ["side"], order, "won", (-length, -1), {"form": ordered.mean_of("won")}
+        ordered.in_ranges(long, ["side"], order, partitions), ["side"], order, "won", (-length, -1), {"form": ordered.mean_of("won")}, partitions
     ).select("contest_id", "side", "role", "form")
 
 
@@ -85,14 +88,20 @@ def _share(wins: Column, played: Column) -> Column:
     )
 
 
-def _with_pair_share(df: DataFrame, totals: DataFrame, into: str) -> DataFrame:
-    joined = df.join(totals, ["_low", "_high", "contest_date"], "left")
+def _dealt(df: DataFrame, keys: list[str], partitions: int | None) -> DataFrame:
+    return df.repartition(partitions, *keys) if partitions else df
+
+
+def _with_pair_share(df: DataFrame, totals: DataFrame, into: str, partitions: int | None = None) -> DataFrame:
+    keys = ["_low", "_high", "contest_date"]
+    joined = _dealt(df, keys, partitions).join(totals, keys, "left")
     wins = F.when(F.col("side1") == F.col("_low"), F.col("_low_wins")).otherwise(F.col("_high_wins"))
     return joined.withColumn(into, _share(wins, F.col("_met"))).drop("_low", "_high", "_met", "_low_wins", "_high_wins")
 
 
-def _with_venue_share(df: DataFrame, totals: DataFrame, into: str) -> DataFrame:
-    joined = df.join(totals, ["side1", "venue", "contest_date"], "left")
+def _with_venue_share(df: DataFrame, totals: DataFrame, into: str, partitions: int | None = None) -> DataFrame:
+    keys = ["side1", "venue", "contest_date"]
+    joined = _dealt(df, keys, partitions).join(totals, keys, "left")
     return joined.withColumn(into, _share(F.col("_wins"), F.col("_played"))).drop("_played", "_wins")
 
 
@@ -115,19 +124,22 @@ def add_neutral_flag(df: DataFrame, into: str = "neutral_venue") -> DataFrame:
 
 def add_all_features(contests: DataFrame, partitions: int | None = None) -> DataFrame:
     """All five features on every contest. ``contests`` is read several times: hand in a stored table."""
-    df = add_form(contests, "side1", "side1_form", partitions)
+    partitions = partitions or ordered.tasks_for(contests.sparkSession, contests.count())
+    # stored, since a range sort reads its rows twice
+    df = materialise(add_form(contests, "side1", "side1_form", partitions), "form")
     df = add_form(df, "side2", "side2_form", partitions)
     paired = _pair(contests)
     pairs = ordered.totals_before(paired, ["_low", "_high"], "contest_date", _pair_totals())
     venues = ordered.totals_before(contests, ["side1", "venue"], "contest_date", _venue_totals())
-    df = _with_pair_share(_pair(df), pairs, "head_to_head")
-    df = _with_venue_share(df, venues, "venue_record")
+    df = _with_pair_share(_pair(df), pairs, "head_to_head", partitions)
+    df = _with_venue_share(df, venues, "venue_record", partitions)
     return add_neutral_flag(df)
 
 
 def training_frame(contests: DataFrame, partitions: int | None = None) -> DataFrame:
     """Contests with a known outcome and complete features, in the types the models expect."""
-    full = add_all_features(contests, partitions).dropna(subset=[LABEL, *FEATURES])
+    used = contests.select("contest_id", "side1", "side2", LABEL, "venue", "contest_date")
+    full = add_all_features(used, partitions).dropna(subset=[LABEL, *FEATURES])
     numbers = [F.col(name).cast("double").alias(name) for name in FEATURES]
     return full.select(
         "contest_id", "side1", "side2", "venue", "contest_date", *numbers, F.col(LABEL).cast("int").alias(LABEL)

@@ -46,8 +46,9 @@ VECTOR = "features"
 
 def in_time_order(df: DataFrame, day: str, tiebreak: str, into: str = "seq", partitions: int | None = None):
     """Number all rows by date and tie-break; the numbering runs in ranges of both, so no day is too long."""
+    partitions = partitions or ordered.tasks_for(df.sparkSession, df.count())
     ranges = ordered.in_ranges(df, [], [day, tiebreak], partitions)
-    return ordered.whole(ordered.number_rows(ranges, [], [day, tiebreak], into))
+    return ordered.whole(ordered.number_rows(ranges, [], [day, tiebreak], into, partitions))
 
 
 @dataclass(frozen=True)

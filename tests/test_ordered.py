@@ -118,3 +118,19 @@ def test_as_of_answers(series, spark):
         assert (r["last"] or []) == before[-5:]
         known = [v for v in before[-5:] if v is not None]
         assert r["mean"] == (sum(known) / len(known) if known else None)
+
+
+def test_tasks_follow_the_rows(spark, series, monkeypatch):
+    """Narrow rows compress so well that a shuffle's octets would put all of them into one task."""
+    monkeypatch.setattr(ordered, "ROWS_OF_TASK", 100)
+    tasks = ordered.tasks_for(spark, series.count())
+    assert tasks == 30
+    order = ["day", "id"]
+    cut = ranges(series, ["k"], tasks)
+    rolled = ordered.rolling(cut, ["k"], order, "v", (-5, -1), {"m": ordered.mean_of("v")}, tasks)
+    numbered = ordered.number_rows(cut, ["k"], order, "n", tasks)
+    assert rolled.rdd.getNumPartitions() == numbered.rdd.getNumPartitions() == tasks
+    window = Window.partitionBy("k").orderBy(*order)
+    plain = series.withColumns({"m": ordered.mean_of("v")(window.rowsBetween(-5, -1)), "n": F.row_number().over(window).cast("long")})
+    assert rows(plain, "id", "m") == rows(rolled, "id", "m")
+    assert rows(plain, "id", "n") == rows(numbered, "id", "n")
