@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tallyfield.functions import numbers, text
 
 
+#: Tasks that the rows of one key are dealt to before the first or last is picked.
+SHARES_OF_KEY = 16
+
+
 def present(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Those of ``columns`` the table has."""
     return [name for name in columns if name in df.columns]
@@ -23,15 +27,18 @@ def drop_repeats(df: DataFrame) -> DataFrame:
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], choose: Callable[[Column], Column]) -> DataFrame:
     rest = [name for name in df.columns if name not in keys and name not in order]
     row = F.struct(*order, *rest)
-    picked = df.groupBy(*keys).agg(choose(row).alias("_row"))
+    # Rows are sorted by key before they meet. Dealt out, a task sorts a shuffle's share and not all that its scan reads;
+    # copies of one key go to several tasks, so no key is too long.
+    share = F.pmod(F.xxhash64(row), F.lit(SHARES_OF_KEY))
+    picked = df.repartition(*[F.col(f"`{k}`") for k in keys], share).groupBy(*keys).agg(choose(row).alias("_row"))
     return picked.select(*[F.col(n) if n in keys else F.col("_row")[n].alias(n) for n in df.columns])
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in the given order.
 
-    An aggregate instead of a ranked window: each map task keeps one candidate per key, so a key with a third
-    of all rows costs no more to shuffle than any other.
+    An aggregate instead of a ranked window: the rows of a key meet in several tasks that keep one candidate each, so no
+    task is given a key with a third of all rows.
     """
     return _pick(df, keys, order, F.min)
 

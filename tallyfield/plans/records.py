@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions.numbers import iso_date
 from tallyfield.functions.outcomes import outcome_label
 from tallyfield.functions.text import fold_category
-from tallyfield.operators import cleaning, keys
+from tallyfield.operators import cleaning, keys, ordered
 from tallyfield.sources import tables
 
 BATTING_COUNTS = ("runs", "balls", "4s", "6s")
@@ -171,4 +171,8 @@ def performances_from_star(facts: DataFrame, matches: DataFrame, players: DataFr
     who = players.select(F.col("player_id").alias(player_id), F.col("name").alias("player"))
     side = teams.select(F.col("team_id").alias(team_id), F.col("team_name").alias("team"))
     where = matches.select("match_id", F.col("ground").alias("venue"), F.col("match_date").alias("contest_date"))
-    return facts.join(where, "match_id", "left").join(who, player_id, "left").join(side, team_id, "left")
+    # Sized by rows: the octets of a shuffle say little about short rows, and the sort of a task would spill.
+    tasks = ordered.tasks_for(facts.sparkSession, facts.count())
+    named = facts.where("match_id IS NOT NULL").repartition(tasks, "match_id").join(where, "match_id", "left")
+    placed = named.unionByName(facts.where("match_id IS NULL"), allowMissingColumns=True)
+    return placed.join(who, player_id, "left").join(side, team_id, "left")

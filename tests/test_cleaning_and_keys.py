@@ -154,3 +154,22 @@ def test_duplicate_query_names_are_refused():
     registry.load_all()
     with pytest.raises(ValueError):
         registry.query("f_training")(lambda spark, folder: None)
+
+
+def test_last_rows_are_picked_from_dealt_out_rows(spark):
+    """A scan's rows are dealt out before they are sorted by key, those of a long key to several tasks."""
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("k"), "id", F.lit("x").alias("text"))
+    last = cleaning.keep_last(df, ["k"], ["id"])
+    assert "RepartitionByExpression" in last._jdf.queryExecution().optimizedPlan().toString()
+    assert last.where("k = 'hot'").collect() == [("hot", 3998, "x")]
+    assert last.count() == 1 + 1334
+
+
+def test_scores_without_a_contest_stay(spark):
+    facts = spark.createDataFrame([("m1", 1, 7, 3), (None, 1, 7, 4), ("gone", 1, 7, 5)], "match_id string, batsman_id long, team_id long, runs int")
+    matches = spark.createDataFrame([("m1", "G", None)], "match_id string, ground string, match_date date")
+    players = spark.createDataFrame([(1, "P")], "player_id long, name string")
+    teams = spark.createDataFrame([(7, "T")], "team_id long, team_name string")
+    placed = records.performances_from_star(facts, matches, players, teams, "batsman_id", "team_id")
+    assert sorted((r["runs"], r["venue"], r["player"], r["team"]) for r in placed.collect()) == [(3, "G", "P", "T"), (4, None, "P", "T"), (5, None, "P", "T")]
+    assert "RepartitionByExpression" in placed._jdf.queryExecution().optimizedPlan().toString()
