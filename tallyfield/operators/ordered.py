@@ -21,12 +21,13 @@ CHUNK = "_chunk"
 ROWS_OF_TASK = 250_000
 
 
-def tasks_for(spark: SparkSession, rows: int) -> int:
-    """Number of tasks that keeps ``ROWS_OF_TASK`` rows in each; at least one for each core.
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Number of tasks that keeps ``ROWS_OF_TASK`` rows in each; None, for Spark's own choice, if each core has no more than that.
 
     Shuffles sized by their octets put millions of narrow, well-compressed rows into one task, which then spills.
     """
-    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_OF_TASK))
+    tasks = -(-rows // ROWS_OF_TASK)
+    return tasks if tasks > spark.sparkContext.defaultParallelism else None
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:

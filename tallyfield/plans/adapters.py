@@ -37,7 +37,8 @@ def unique_lines(spark: SparkSession, folder: str) -> DataFrame:
         "l_returnflag", "l_linestatus",
     ]
     lines = table(spark, folder, "lineitem")
-    lines = lines.repartition(ordered.tasks_for(spark, lines.count()), "l_orderkey")
+    tasks = ordered.tasks_for(spark, lines.count())
+    lines = lines.repartition(tasks, "l_orderkey") if tasks else lines.repartition("l_orderkey")
     firsts = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*rest)).alias("l"))
     return firsts.select("l_orderkey", "l_linenumber", "l.*")
 

@@ -125,8 +125,9 @@ def add_neutral_flag(df: DataFrame, into: str = "neutral_venue") -> DataFrame:
 def add_all_features(contests: DataFrame, partitions: int | None = None) -> DataFrame:
     """All five features on every contest. ``contests`` is read several times: hand in a stored table."""
     partitions = partitions or ordered.tasks_for(contests.sparkSession, contests.count())
-    # stored, since a range sort reads its rows twice
-    df = materialise(add_form(contests, "side1", "side1_form", partitions), "form")
+    df = add_form(contests, "side1", "side1_form", partitions)
+    if partitions:  # stored, since a range sort reads its rows twice
+        df = materialise(df, "form")
     df = add_form(df, "side2", "side2_form", partitions)
     paired = _pair(contests)
     pairs = ordered.totals_before(paired, ["_low", "_high"], "contest_date", _pair_totals())

@@ -173,6 +173,9 @@ def performances_from_star(facts: DataFrame, matches: DataFrame, players: DataFr
     where = matches.select("match_id", F.col("ground").alias("venue"), F.col("match_date").alias("contest_date"))
     # Sized by rows: the octets of a shuffle say little about short rows, and the sort of a task would spill.
     tasks = ordered.tasks_for(facts.sparkSession, facts.count())
-    named = facts.where("match_id IS NOT NULL").repartition(tasks, "match_id").join(where, "match_id", "left")
-    placed = named.unionByName(facts.where("match_id IS NULL"), allowMissingColumns=True)
+    if tasks:
+        named = facts.where("match_id IS NOT NULL").repartition(tasks, "match_id").join(where, "match_id", "left")
+        placed = named.unionByName(facts.where("match_id IS NULL"), allowMissingColumns=True)
+    else:
+        placed = facts.join(where, "match_id", "left")
     return placed.join(who, player_id, "left").join(side, team_id, "left")

@@ -165,7 +165,8 @@ def test_last_rows_are_picked_from_dealt_out_rows(spark):
     assert last.count() == 1 + 1334
 
 
-def test_scores_without_a_contest_stay(spark):
+def test_scores_without_a_contest_stay(spark, monkeypatch):
+    monkeypatch.setattr(records.ordered, "tasks_for", lambda spark, rows: 5)
     facts = spark.createDataFrame([("m1", 1, 7, 3), (None, 1, 7, 4), ("gone", 1, 7, 5)], "match_id string, batsman_id long, team_id long, runs int")
     matches = spark.createDataFrame([("m1", "G", None)], "match_id string, ground string, match_date date")
     players = spark.createDataFrame([(1, "P")], "player_id long, name string")
