@@ -24,28 +24,33 @@ def drop_repeats(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str], choose: Callable[[Column], Column]) -> DataFrame:
+def _pick(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], choose: Callable[[Column], Column], partitions: int | None
+) -> DataFrame:
     rest = [name for name in df.columns if name not in keys and name not in order]
     row = F.struct(*order, *rest)
     # Rows are sorted by key before they meet. Dealt out, a task sorts a shuffle's share and not all that its scan reads;
     # copies of one key go to several tasks, so no key is too long.
     share = F.pmod(F.xxhash64(row), F.lit(SHARES_OF_KEY))
-    picked = df.repartition(*[F.col(f"`{k}`") for k in keys], share).groupBy(*keys).agg(choose(row).alias("_row"))
+    by_key = [F.col(f"`{k}`") for k in keys]
+    dealt = df.repartition(partitions, *by_key) if partitions else df.repartition(*by_key, share)
+    picked = dealt.groupBy(*keys).agg(choose(row).alias("_row"))
     return picked.select(*[F.col(n) if n in keys else F.col("_row")[n].alias(n) for n in df.columns])
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """First row per key in the given order.
 
     An aggregate instead of a ranked window: the rows of a key meet in several tasks that keep one candidate each, so no
-    task is given a key with a third of all rows.
+    task is given a key with a third of all rows. For keys that seldom repeat, a number of tasks saves the second
+    shuffle: all rows of a key then meet in one of so many.
     """
-    return _pick(df, keys, order, F.min)
+    return _pick(df, keys, order, F.min, partitions)
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last row per key in the given order."""
-    return _pick(df, keys, order, F.max)
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Last row per key in the given order; ``partitions`` as in ``keep_first``."""
+    return _pick(df, keys, order, F.max, partitions)
 
 
 def map_columns(df: DataFrame, columns: Sequence[str], change: Callable[[Column], Column]) -> DataFrame:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyfield.functions.text import strip
 from tallyfield.operators.cleaning import keep_first, keep_last
-from tallyfield.operators.ordered import in_ranges, number_rows, whole
+from tallyfield.operators.ordered import dealt, in_ranges, number_rows, tasks_for, whole
 
 
 def entity_names(df: DataFrame, columns: Sequence[str], into: str) -> DataFrame:
-    """Distinct stripped names found in any of the columns, blanks left out."""
-    names = df.select(F.explode(F.array(*columns)).alias(into)).withColumn(into, strip(F.col(into)))
+    """Distinct stripped names found in any of the columns, blanks left out. Each spelling is stripped once, not each row."""
+    names = df.select(F.explode(F.array(*columns)).alias(into)).distinct().withColumn(into, strip(F.col(into)))
     return names.where(F.length(into) > 0).distinct()
 
 
@@ -113,6 +113,31 @@ def missing_parents(child: DataFrame, column: str, parent: DataFrame, key: str)
     return used.join(parent.select(key), key, "left_anti")
 
 
+def broken_links(
+    parent: DataFrame, key: str, uses: Mapping[str, tuple[DataFrame, str]], repeated: str | None = None
+) -> DataFrame:
+    """Broken rules of one key as (rule, rows): per use (a table and its column) the rows whose value no parent row has,
+    and under ``repeated``, if given, the rows of the parent that share their key with others. NULLs break no rule here.
+
+    Every table's keys are shuffled once for all rules. Parent keys are dealt out by rows before they are counted, because
+    keys that seldom repeat would fill the table of a task that counts all its scan reads.
+    """
+    counts = {"_p": "_p", **{name: f"_c{i}" for i, name in enumerate(uses)}}
+    every = parent.select(F.col(key).alias("_key"), F.lit("_p").alias("_from"))
+    for name, (child, column) in uses.items():
+        every = every.unionAll(child.select(F.col(column).alias("_key"), F.lit(counts[name]).alias("_from")))
+    tasks = tasks_for(parent.sparkSession, parent.count())
+    if tasks:
+        tasks = tasks_for(parent.sparkSession, every.count())
+    used = dealt(every.where("_key IS NOT NULL"), ["_key"], tasks)
+    seen = used.groupBy("_key").agg(*[F.count_if(F.col("_from") == c).alias(c) for c in counts.values()])
+    broken = {name: F.sum(F.when(F.col("_p") == 0, F.col(counts[name]))) for name in uses}
+    if repeated:
+        broken[repeated] = F.sum(F.when(F.col("_p") > 1, F.col("_p")))
+    rules = F.array(*[F.struct(F.lit(rule).alias("rule"), F.coalesce(total, F.lit(0)).alias("rows")) for rule, total in broken.items()])
+    return seen.agg(rules.alias("_rules")).select(F.inline("_rules"))
+
+
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once; a key with a NULL part cannot violate uniqueness."""
     return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

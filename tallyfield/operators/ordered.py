@@ -45,8 +45,8 @@ def whole(df: DataFrame) -> DataFrame:
     return df.drop(CHUNK)
 
 
-def _dealt(df: DataFrame, group: Sequence[str], partitions: int | None) -> DataFrame:
-    """Rows dealt out by group for the window that follows; Spark's own choice unless a number is given."""
+def dealt(df: DataFrame, group: Sequence[str], partitions: int | None) -> DataFrame:
+    """Rows dealt out by group for the window, join or aggregate that follows; Spark's own choice unless a number is given."""
     return df.repartition(partitions, *group) if partitions else df
 
 
@@ -58,7 +58,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], into:
     starts = sizes.select(
         *group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.lit(0).alias("_is_row")
     )
-    both = _dealt(df.withColumn("_is_row", F.lit(1)).unionByName(starts, allowMissingColumns=True), group, partitions)
+    both = dealt(df.withColumn("_is_row", F.lit(1)).unionByName(starts, allowMissingColumns=True), group, partitions)
     inside = Window.partitionBy(*group).orderBy("_is_row", *order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = both.withColumn(into, F.row_number().over(inside) - 1 + F.first("_start").over(running))
@@ -104,7 +104,7 @@ def rolling(
         .drop("back")
         .withColumn("_is_row", F.lit(0))
     )
-    both = _dealt(df.withColumn("_is_row", F.lit(1)).unionByName(halo, allowMissingColumns=True), group, partitions)
+    both = dealt(df.withColumn("_is_row", F.lit(1)).unionByName(halo, allowMissingColumns=True), group, partitions)
     window = Window.partitionBy(*group).orderBy(*order).rowsBetween(low, high)
     rolled = both.withColumns({name: make(window) for name, make in outputs.items()})
     return rolled.where("_is_row = 1").drop("_is_row")

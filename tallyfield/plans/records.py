@@ -67,7 +67,8 @@ def build_teams(matches: DataFrame, strict_reference: bool = False) -> DataFrame
 
 def build_matches(matches: DataFrame, teams: DataFrame, order: list[str]) -> DataFrame:
     """Contest table with team keys; for a repeated match key the last row in ``order`` stays."""
-    df = cleaning.keep_last(matches, ["match_id"], order)
+    # Keys of contests repeat a few times at most, so one shuffle sized by rows brings their rows together.
+    df = cleaning.keep_last(matches, ["match_id"], order, ordered.tasks_for(matches.sparkSession, matches.count()))
     for side in ("team1", "team2", "winner"):
         df = keys.lookup_key(df, teams, {side: "team_name"}, "team_id", f"{side}_id")
     df = df.withColumns({"winner_text": F.col("winner"), "match_date": F.col("matchDate").try_cast("date")})

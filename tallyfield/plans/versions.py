@@ -12,7 +12,8 @@ stay readable. Folders of rejected loads stay on disk and are listed by no manif
 * **Score rows** are added. Rows of a contest that was replaced stay.
 
 Two loads at once: both stage, one manifest is written; the other load fails when it writes the same version's manifest.
-What reaches the driver is the manifest: a line per load and table, and one per month of contests.
+What reaches the driver is the manifest: a line per load and table, and at most two per month of contests, those that
+came in and those that stayed beside them.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyfield.operators import keys
+from tallyfield.operators import keys, ordered
 from tallyfield.plans import records
+from tallyfield.session import materialise
 from tallyfield.sources import tables
 
 SCHEMAS: dict[str, StructType] = {
@@ -107,34 +109,60 @@ def _months(df: DataFrame) -> set[str]:
     return {r["month"] for r in df.select(_month().alias("month")).distinct().collect()}
 
 
+def _sizes(df: DataFrame) -> dict[str, int]:
+    """Rows of each month."""
+    return {r["month"]: r["count"] for r in df.groupBy("month").count().collect()}
+
+
+def _write_months(df: DataFrame, path: str) -> DataFrame:
+    """Write contests by month of their date, and go on from the files."""
+    df.withColumn("month", _month()).hint("rebalance", "month").write.partitionBy("month").parquet(path)
+    return df.sparkSession.read.schema(SCHEMAS["matches"]).parquet(path)
+
+
 def _replace_contests(spark: SparkSession, listed: list[Entry], incoming: DataFrame, stage: str) -> list[Entry]:
-    """Stage every month that gains or loses a contest; the entries of the others go on as they are."""
-    stored = _read(spark, listed, "matches")
-    replaced = stored.join(incoming.select("match_id"), "match_id", "left_semi")
-    touched = _months(incoming) | _months(replaced)
-    before = _read(spark, listed, "matches", touched)
-    kept = before.join(incoming.select("match_id"), "match_id", "left_anti").select(*SCHEMAS["matches"].names)
-    merged = kept.unionByName(incoming).withColumn("month", _month())
-    merged.hint("rebalance", "month").write.partitionBy("month").parquet(f"{stage}/matches")
+    """Stage every month that gains or loses a contest; the entries of the others go on as they are.
+
+    Incoming contests are worked out once, as they are written; after that only their keys meet those of the stored ones, and
+    whole rows of stored contests move in the touched months alone.
+    """
+    fresh = _write_months(incoming, f"{stage}/matches")
+    parts, touched = {"matches": _months(fresh)}, _months(fresh)
+    if any(e.table_name == "matches" for e in listed):
+        stored = _read(spark, listed, "matches")
+        tasks = ordered.tasks_for(spark, stored.count() + fresh.count())
+        dealt = lambda df: ordered.dealt(df, ["match_id"], tasks)
+        known = dealt(stored.where("match_id IS NOT NULL").select("match_id", _month().alias("month")))
+        # Incoming keys are unique. Spark would move a semi or anti join in front of the shuffle that is sized by rows.
+        replaced = materialise(known.join(dealt(fresh.select("match_id")), "match_id"), "replaced")
+        gone = _sizes(replaced)
+        touched = touched | set(gone)
+        # Months that are replaced as a whole have no contest left to keep.
+        had = _sizes(_read(spark, listed, "matches", touched).select(_month().alias("month")))
+        before = _read(spark, listed, "matches", {month for month, rows in had.items() if rows > gone.get(month, 0)})
+        unkeyed = before.where("match_id IS NULL")
+        marked = dealt(replaced.select("match_id", F.lit(True).alias("_gone")))
+        kept = dealt(before.where("match_id IS NOT NULL")).join(marked, "match_id", "left").where("_gone IS NULL")
+        parts["kept"] = _months(_write_months(kept.select(*SCHEMAS["matches"].names).unionByName(unkeyed), f"{stage}/kept"))
     others = [e for e in listed if e.table_name == "matches" and e.month not in touched]
-    present = _months(spark.read.schema(SCHEMAS["matches"]).parquet(f"{stage}/matches"))
-    return others + [Entry("matches", month, f"{stage}/matches/month={month}") for month in sorted(present)]
+    staged = [Entry("matches", month, f"{stage}/{part}/month={month}") for part, months in parts.items() for month in sorted(months)]
+    return others + staged
 
 
 def violations(staged: dict[str, DataFrame], added: dict[str, DataFrame]) -> DataFrame:
     """Broken rules as (rule, rows). Uniqueness is checked on the whole staged dimension, the other rules on what is added."""
     found = []
-    for name, columns in UNIQUE.items():
-        repeats = keys.repeated_keys(staged[name], columns).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
-        found.append(repeats.select(F.lit(f"{name}: {', '.join(columns)} repeated").alias("rule"), "rows"))
     for name, columns in REQUIRED.items():
         nulls = keys.missing_values(added[name], columns)
         found.append(nulls.select(F.concat(F.lit(f"{name}: no "), "column_name").alias("rule"), F.col("nulls").alias("rows")))
-    for name, columns in FOREIGN.items():
-        for column, (parent, key) in columns.items():
-            orphans = keys.missing_parents(added[name], column, staged[parent], key)
-            count = orphans.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
-            found.append(count.select(F.lit(f"{name}: {column} unknown in {parent}").alias("rule"), "rows"))
+    for name, columns in UNIQUE.items():
+        if len(columns) > 1 or not any(to == (name, columns[0]) for links in FOREIGN.values() for to in links.values()):
+            repeats = keys.repeated_keys(staged[name], columns).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+            found.append(repeats.select(F.lit(f"{name}: {', '.join(columns)} repeated").alias("rule"), "rows"))
+    for parent, key in dict.fromkeys(to for links in FOREIGN.values() for to in links.values()):
+        uses = {f"{name}: {column} unknown in {parent}": (added[name], column) for name, links in FOREIGN.items() for column, to in links.items() if to == (parent, key)}
+        repeated = f"{parent}: {key} repeated" if UNIQUE[parent] == [key] else None
+        found.append(keys.broken_links(staged[parent], key, uses, repeated))
     every = found[0]
     for one in found[1:]:
         every = every.unionByName(one)

@@ -6,7 +6,7 @@ import warnings
 
 from pyspark.sql import functions as F
 
-from tallyfield.operators import rejects
+from tallyfield.operators import ordered, rejects
 from tallyfield.plans import versions
 from tallyfield.plans.adapters import CONTESTS_SQL, contest_table, table
 from tallyfield.registry import query
@@ -63,9 +63,12 @@ def star_second_load(spark, folder):
     now = versions.read_version(spark, loaded_twice(spark, folder))
     one = now["teams"].select(F.col("team_id").alias("team1_id"), F.col("team_name").alias("side1"))
     two = now["teams"].select(F.col("team_id").alias("team2_id"), F.col("team_name").alias("side2"))
-    bats = now["batting"].groupBy("match_id").agg(F.count(F.lit(1)).alias("batting_rows"))
-    bowls = now["bowling"].groupBy("match_id").agg(F.sum("runs").alias("bowling_runs"))
-    named = now["matches"].join(one, "team1_id").join(two, "team2_id").join(bats, "match_id").join(bowls, "match_id")
+    # All three are dealt out by contest and sized by rows; names come last, so that only keys of teams move.
+    tasks = ordered.tasks_for(spark, sum(now[name].count() for name in ("matches", "batting", "bowling")))
+    games, batted, bowled = (ordered.dealt(now[name], ["match_id"], tasks) for name in ("matches", "batting", "bowling"))
+    bats = batted.groupBy("match_id").agg(F.count(F.lit(1)).alias("batting_rows"))
+    bowls = bowled.groupBy("match_id").agg(F.sum("runs").alias("bowling_runs"))
+    named = games.join(bats, "match_id").join(bowls, "match_id").join(one, "team1_id").join(two, "team2_id")
     return named.select("match_id", "side1", "side2", "winner_text", "margin", "batting_rows", "bowling_runs")
 
 

@@ -2,8 +2,9 @@
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from tallyfield.operators import rejects
+from tallyfield.operators import keys, rejects
 from tallyfield.plans import versions
 from tallyfield.sources import tables
 
@@ -63,6 +64,37 @@ def test_rejected_load_leaves_the_old_version(spark, target):
     assert rows(now["matches"], "match_id") == [("1",)] and rows(now["players"], "name") == [("Ann",)] and now["batting"].count() == 1
 
 
+def test_incoming_contests_are_worked_out_once(spark, target):
+    load(spark, target, [game("1", "A", "B", "2024-01-05"), game("2", "A", "B", "2024-01-06"), game("3", "A", "B", "2024-02-06")])
+    worked = spark.sparkContext.accumulator(0)
+
+    def counted(margin):
+        worked.add(1)
+        return margin
+
+    second = [game("1", "A", "B", "2024-01-05", "new"), game("3", "A", "B", "2024-03-06", "new"), game("4", "B", "A", None, "new")]
+    matches = spark.createDataFrame(second, MATCH).withColumn("margin", F.udf(counted, "string")("margin"))
+    none = [spark.createDataFrame([], s) for s in ("name string, team string", BAT, BOWL)]
+    versions.load_version(spark, target, matches, *none, ["matchDate"], ["name"])
+    assert worked.value == len(second)
+    now = versions.read_version(spark, target)["matches"]
+    assert rows(now, "match_id", "margin") == [("1", "new"), ("2", "m"), ("3", "new"), ("4", "new")]
+    months = sorted(e.month for e in versions.entries(spark, target, 2) if e.table_name == "matches")
+    assert months == ["2024-01", "2024-01", "2024-03", versions.UNDATED]
+
+
+def test_rules_of_one_key_in_one_pass(spark):
+    parent = spark.createDataFrame([("a",), ("a",), ("b",), (None,), (None,)], "id string")
+    one = spark.createDataFrame([("a",), ("x",), ("x",), (None,)], "ref string")
+    two = spark.createDataFrame([("y",), ("b",)], "of string")
+    found = keys.broken_links(parent, "id", {"one": (one, "ref"), "two": (two, "of")}, "twice")
+    assert rows(found) == [("one", 2), ("twice", 2), ("two", 1)]
+    assert rows(keys.broken_links(parent.limit(0), "id", {"none": (one.limit(0), "ref")}, "twice")) == [("none", 0), ("twice", 0)]
+    # Parent, uses: their keys move together, once.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0
+
+
 def test_same_load_again_and_empty_load(spark, target):
     assert versions.read_version(spark, target)["teams"].count() == 0
     for number in (1, 2):
