@@ -40,8 +40,22 @@ def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match or NULL; Spark's own extract gives empty text when nothing matches."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    """First match or NULL; Spark's own extract gives empty text when nothing matches.
+
+    The match takes the rest of the text along, so the text is searched once and there is one match at most.
+    """
+    return F.get(all_matches(text, rf"(?:{pattern})(?s:.*)", group), F.lit(0))
+
+
+def _up_to_end(tag: str) -> str:
+    """Group of all text before the next end tag, and the end tag. Matches what ``(.*?)</tag>`` does, but in leaps from
+    tag to tag: it looks for the end tag at each ``<`` only."""
+    return rf"([^<]*(?:<(?!/{tag}>)[^<]*)*+)</{tag}>"
+
+
+def _once(df: DataFrame, **computed: Column) -> DataFrame:
+    """``df`` with computed columns that are evaluated once a row; a filter above a plain column would repeat its patterns."""
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in computed.items()]))))
 
 
 def _with_class(tag: str, name: str) -> str:
@@ -50,18 +64,18 @@ def _with_class(tag: str, name: str) -> str:
 
 def tables_of_class(html: Column, name: str) -> Column:
     """Inner HTML of every table with the class."""
-    return all_matches(html, rf"(?is){_with_class('table', name)}(.*?)</table>")
+    return all_matches(html, rf"(?is){_with_class('table', name)}{_up_to_end('table')}")
 
 
 def body_rows(table: Column, row_class: str | None = None) -> Column:
     """Inner HTML of the rows in the table's body."""
     opening = _with_class("tr", row_class) if row_class else r"<tr\b[^>]*>"
-    bodies = F.array_join(all_matches(table, r"(?is)<tbody\b[^>]*>(.*?)</tbody>"), "")
-    return all_matches(bodies, rf"(?is){opening}(.*?)</tr>")
+    bodies = F.array_join(all_matches(table, rf"(?is)<tbody\b[^>]*>{_up_to_end('tbody')}"), "")
+    return all_matches(bodies, rf"(?is){opening}{_up_to_end('tr')}")
 
 
 def row_cells(row: Column) -> Column:
-    return all_matches(row, r"(?is)<td\b[^>]*>(.*?)</td>")
+    return all_matches(row, rf"(?is)<td\b[^>]*>{_up_to_end('td')}")
 
 
 def link_target(cell: Column) -> Column:
@@ -155,32 +169,46 @@ def bowling_pages(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     return _checked(df, html, keep, BOWLING_TABLE, 4)
 
 
-def _player(nested: bool) -> Column:
-    """Name inside the first link of the first cell; the batting table wraps it in two spans, the bowling one in one."""
-    link = first_match(F.get("_cells", F.lit(0)), r"(?is)<a\b[^>]*>(.*?)</a>")
+def _link_text() -> Column:
+    """Markup inside the first link of the first cell."""
+    return first_match(F.get("_cells", F.lit(0)), r"(?is)<a\b[^>]*>(.*?)</a>")
+
+
+def _name_markup(nested: bool) -> Column:
+    """Markup of the name in the link; the batting table wraps it in two spans, the bowling one in one."""
     span = r"(?is)<span\b[^>]*>\s*<span\b[^>]*>(.*?)</span>" if nested else r"(?is)<span\b[^>]*>(.*?)</span>"
-    return scrub(visible_text(first_match(link, span)), [NO_BREAK_SPACE])
+    return first_match(F.col("_link"), span)
+
+
+def _name_text() -> Column:
+    return scrub(visible_text(F.col("_span")), [NO_BREAK_SPACE])
+
+
+def _with_player(rows: DataFrame, nested: bool) -> DataFrame:
+    """The rows with the player's name, NULL without one."""
+    found = _once(_once(rows, _link=_link_text()), _span=_name_markup(nested))
+    return _once(found, _name=_name_text())
 
 
 def batting_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """One record per batting row of both innings, numbered inside its innings; rows without a name link carry a
     ``parse_error``."""
     rows = _score_rows(batting_pages(df, html, keep), keep, [(0, 0), (1, 1)], 8)
-    name = _player(nested=True)
+    rows = _with_player(rows, nested=True)
     return rows.select(
         *keep, "ingest_seq", "match", F.col("side").alias("teamInnings"), F.col("_place").cast("string").alias("battingPos"),
-        name.alias("batsmanName"),
-        *_fields(BATTING_CELLS), F.when(name.isNull(), F.lit("no player name")).alias("parse_error"),
+        F.col("_name").alias("batsmanName"),
+        *_fields(BATTING_CELLS), F.when(F.col("_name").isNull(), F.lit("no player name")).alias("parse_error"),
     )
 
 
 def bowling_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """Second and fourth table: the bowlers of an innings belong to the side that is not batting."""
     rows = _score_rows(bowling_pages(df, html, keep), keep, [(1, 1), (3, 0)], 11)
-    name = _player(nested=False)
+    rows = _with_player(rows, nested=False)
     return rows.select(
-        *keep, "ingest_seq", "match", F.col("side").alias("bowlingTeam"), name.alias("bowlerName"),
-        *_fields(BOWLING_CELLS), F.when(name.isNull(), F.lit("no player name")).alias("parse_error"),
+        *keep, "ingest_seq", "match", F.col("side").alias("bowlingTeam"), F.col("_name").alias("bowlerName"),
+        *_fields(BOWLING_CELLS), F.when(F.col("_name").isNull(), F.lit("no player name")).alias("parse_error"),
     )
 
 
@@ -217,13 +245,9 @@ def player_links(df: DataFrame, html: str, site: str) -> DataFrame:
     )
     none = F.array().cast("array<struct<team:string,nested:boolean,_cells:array<string>>>")
     rows = page.select(F.inline(F.concat(F.coalesce(batting, none), F.coalesce(bowling, none))))
-    found = rows.select(
-        F.when(F.col("nested"), _player(True)).otherwise(_player(False)).alias("name"),
-        "team",
-        link_target(F.get("_cells", F.lit(0))).alias("_target"),
-    )
-    both = found.where("name IS NOT NULL AND length(_target) > 0")
-    return both.select("name", "team", F.concat(F.lit(site), "_target").alias("link")).distinct()
+    found = _once(rows, _link=_link_text(), _target=link_target(F.get("_cells", F.lit(0)))).where("length(_target) > 0")
+    found = _once(found, _span=F.when(F.col("nested"), _name_markup(True)).otherwise(_name_markup(False))).where("_span IS NOT NULL")
+    return found.select(_name_text().alias("name"), "team", F.concat(F.lit(site), "_target").alias("link")).distinct()
 
 
 def labelled_value(html: Column, label: str) -> Column:

@@ -120,3 +120,28 @@ def test_sql_with_bound_parameters(spark):
     assert rows(tables.run_sql(spark, "SELECT a FROM {t} WHERE b = :b", {"b": "it's"}, t=df)) == [(2,)]
     df.createOrReplaceTempView("listed_here")
     assert "listed_here" in tables.list_tables(spark)
+
+
+def test_player_links_search_each_cell_once(site):
+    """The patterns of the link and the name stand once in the plan, not again in the filter above them."""
+    plan = pages.player_links(site, "html", "http://s")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"<a\b[^>]*>(.*?)</a>") == plan.count(r'\bhref="([^"]*)"') == 1
+    assert plan.lower().count("rlike") == 0
+
+
+def test_leaps_to_the_end_tag_match_as_before(spark):
+    """Against the patterns in plain words, on markup that nests, ends nowhere or holds thousands of tags."""
+    given = [
+        "<td>a</td><TD x='1'>b<b>c</b></Td><td>open <td>d</td></td><td>end", "<td>", "<td></td>< td>", "a < b <td>x < y </ td></td>", "<tdx>a</td>",
+        "<td>" + "<i>q</i>" * 20_000 + "</td><td>\n<td></TD>", "<td>" + "<" * 5_000, "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(given)), "n long, html string")
+    old = pages.all_matches(pages.F.col("html"), r"(?is)<td\b[^>]*>(.*?)</td>")
+    for row in df.select(old.alias("old"), pages.row_cells(pages.F.col("html")).alias("new")).collect():
+        assert row.old == row.new
+
+
+def test_first_match_is_the_first_and_null_without_one(spark):
+    df = spark.createDataFrame([("<a>x\n</a><a>y</a>",), ("<A></A>",), ("none",), (None,)], "html string")
+    found = [r[0] for r in df.select(pages.first_match(pages.F.col("html"), r"(?is)<a\b[^>]*>(.*?)</a>")).collect()]
+    assert found == ["x\n", "", None, None]
