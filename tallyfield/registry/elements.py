@@ -3,7 +3,11 @@ tables inside cells, cells left open, rarer character references and side names
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyfield.plans.adapters import stored, table
 from tallyfield.registry import query
@@ -11,6 +15,7 @@ from tallyfield.sources import elements
 
 SITE = "https://site.example"
 PARTS_A_CORE = 4
+PAGES_AT_ONCE, PAGES_A_TASK = 1024, 50_000
 
 _BATTER = (
     '<tr><td><a href="/player/%s"><span><span>Andr&eacute; O&#8217;Brien&nbsp;%s</span></span></a></td><td><span><span>b %s<table><tbody>'
@@ -33,34 +38,61 @@ def rendered(template, *values):
     return F.concat(*pieces)
 
 
+def _dealt(spark, folder, name, key):
+    """The table dealt out by order to tasks of ``PAGES_A_TASK`` pages; the shuffled numbers are small, so Spark would make a few tasks of them."""
+    tasks = max(PARTS_A_CORE * spark.sparkContext.defaultParallelism, -(-table(spark, folder, "orders").count() // PAGES_A_TASK))
+    return table(spark, folder, name).withColumnRenamed(key, "o_orderkey").repartition(tasks, "o_orderkey")
+
+
 def _sheets(spark, folder):
     """The lines of each order, a handful, as numbers; markup is made after they were shuffled."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    lines = _dealt(spark, folder, "lineitem", "l_orderkey").groupBy("o_orderkey")
     return lines.agg(F.sort_array(F.collect_list(line)).alias("lines"))
 
 
-def score_pages(spark, folder):
-    """A page per order; its odd lines bat first, its even ones second. Orders of the lowest priority lack the heading."""
+def _page_of(heading, first, second, lines):
+    """Pages as Arrow text, from their headings and sides and from the lists of their lines; all of them in one pass a piece."""
+    starts, lines = lines.offsets.to_numpy(), lines.values.slice(lines.offsets[0].as_py(), lines.offsets[-1].as_py() - lines.offsets[0].as_py())
+    number, part, supplier = (lines.field(n) for n in range(3))
+    odd = np.fmod(number.fill_null(-1).to_numpy(), 2)
+    written = [written_out(_BATTER, part, part, supplier, part, number, part), written_out(_BOWLER, supplier, supplier)]
 
-    def build():
-        def joined(odd, fragment):
-            mine = F.filter("lines", lambda line: line["l_linenumber"] % 2 == (1 if odd else 0))
-            return F.array_join(F.transform(mine, fragment), "")
+    def joined(remainder):
+        chosen = odd == remainder
+        bounds = np.concatenate([[0], np.cumsum(chosen)])[starts - starts[0]]
+        mine = [fragments.filter(pa.array(chosen)) for fragments in written]
+        return [pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), fragments), "") for fragments in mine]
 
-        def batter(line):
-            part, supplier = line["l_partkey"], line["l_suppkey"]
-            return rendered(_BATTER, part, part, supplier, part, line["l_linenumber"], part)
+    return written_out(_PAGE, heading, first, *joined(1), second, *joined(0))
 
-        def bowler(line):
-            return rendered(_BOWLER, line["l_suppkey"], line["l_suppkey"])
 
+def written_out(template, *values):
+    """As ``rendered``, for Arrow arrays."""
+    first, *others = template.split("%s")
+    pieces = [first]
+    for value, text in zip(values, others, strict=True):
+        pieces += [value.cast(pa.string()).fill_null("null"), text]
+    return pc.binary_join_element_wise(*pieces, "")
+
+
+def score_pages(spark, folder):
+    """A page per order; its odd lines bat first, its even ones second. Orders of the lowest priority lack the heading."""
+
+    def build():
         heading = F.when(F.col("o_orderpriority") == "5-LOW", "Overview").otherwise("Match Details")
-        page = rendered(
-            _PAGE, heading, F.concat(F.lit("Side "), F.col("o_custkey").cast("string")), joined(True, batter), joined(True, bowler),
-            F.concat("o_orderpriority", F.lit(" Innings")), joined(False, batter), joined(False, bowler),
-        )
-        return table(spark, folder, "orders").join(_sheets(spark, folder), "o_orderkey").select("o_orderkey", page.alias("html"))
+        sides = [F.concat(F.lit("Side "), F.col("o_custkey").cast("string")), F.concat("o_orderpriority", F.lit(" Innings"))]
+        orders = _dealt(spark, folder, "orders", "o_orderkey").join(_sheets(spark, folder), "o_orderkey")
+        orders = orders.select("o_orderkey", heading.alias("heading"), sides[0].alias("first"), sides[1].alias("second"), "lines")
+
+        def write(batches):
+            for batch in batches:
+                for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                    key, *parts = batch.slice(start, PAGES_AT_ONCE).columns
+                    yield pa.RecordBatch.from_arrays([key, _page_of(*parts)], names=["o_orderkey", "html"])
+
+        target = StructType([orders.schema["o_orderkey"], StructField("html", StringType())])
+        return orders.mapInArrow(write, target)
 
     return stored(spark, folder, "tree-pages", build)
 

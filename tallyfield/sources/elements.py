@@ -15,18 +15,21 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from html import unescape
 from html.parser import HTMLParser
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyfield.functions.text import scrub
 from tallyfield.sources import pages
+from tallyfield.sources.plain import GAP, GIVEN, NAME, RAW_TEXT, TABLE_PARTS, VOID, attributes_of, in_parts, read_plain
 
 CELL = "struct<text:string,link:string,spans:array<string>>"
 ROW = f"struct<classes:array<string>,cells:array<{CELL}>>"
@@ -35,17 +38,12 @@ PARSED = (
     f"tables:array<struct<classes:array<string>,inside_div:boolean,rows:array<{ROW}>>>>"
 )
 PAGES_AT_ONCE = 32
+#: The table of each innings and the side its rows belong to, among the batting and among the bowling tables.
+BATTING_PICK, BOWLING_PICK = ((0, 0), (1, 1)), ((1, 1), (3, 0))
 
-# Elements without content, elements that hold text only, and how deep the parts of a table lie.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TEXT = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
 FREQUENT = frozenset(["", "a", "div", "p", "span", "td", "tr"])
-TABLE_PARTS = {"table": 0, "thead": 1, "tbody": 1, "tfoot": 1, "tr": 2, "td": 3, "th": 3}
 #: A plain start or end tag and the text after it, or an element without others inside and the text after that.
-#: Attributes are quoted. No part is tried twice.
-_NAME, _GAP, _VALUE = "[A-Za-z][A-Za-z0-9]*+", r"[ \t\n\r\f]", """(?:"[^"<>]*+"|'[^'<>]*+')"""
-TAG = re.compile(f"<(?:/({_NAME}){_GAP}*+|({_NAME})((?:{_GAP}++[A-Za-z][A-Za-z0-9_:-]*+={_VALUE})*+){_GAP}*+/?)>([^<]*+)(?:</(\\2){_GAP}*+>([^<]*+))?")
-ATTRIBUTE = re.compile("""([A-Za-z][A-Za-z0-9_:-]*+)=(?:"([^"]*+)"|'([^']*+)')""")
+TAG = re.compile(f"<(?:/({NAME}){GAP}*+|({NAME})({GIVEN}){GAP}*+/?)>([^<]*+)(?:</(\\2){GAP}*+>([^<]*+))?")
 
 
 class _Tolerant(HTMLParser):
@@ -179,8 +177,7 @@ class Elements:
         """Value of an attribute; the last of equal names counts."""
         found = self.attributes[number]
         if isinstance(found, str):
-            found = {key.lower(): unescape(one or other) for key, one, other in ATTRIBUTE.findall(found)}
-            self.attributes[number] = found
+            found = self.attributes[number] = attributes_of(found)
         return found.get(name)
 
     def classes(self, number: int) -> list[str]:
@@ -258,11 +255,11 @@ def _cells(page: Elements, row: int) -> list[dict]:
     return cells
 
 
-def _tables(page: Elements, wanted: str | None = None) -> list[dict]:
+def _tables(page: Elements, wanted: Collection[str] | None = None) -> list[dict]:
     found = []
     for table in page.places["table"]:
         classes = page.classes(table)
-        if wanted is not None and wanted not in classes:
+        if wanted is not None and not any(name in classes for name in wanted):
             continue
         parent = page.parents[table]
         rows = [
@@ -294,8 +291,8 @@ def _about(page: Elements) -> str:
     return ""
 
 
-def read_page(html: str | None, wanted: str | None = None) -> dict:
-    """What a page holds, with its tables of the class ``wanted``, or all of them."""
+def read_page(html: str | None, wanted: Collection[str] | None = None) -> dict:
+    """What a page holds, with its tables of the classes ``wanted``, or all of them."""
     page = Elements(html or "")
     heads = page.places["h1"]
     return {
@@ -318,34 +315,57 @@ def _column(values: Sequence, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def parsed(df: DataFrame, html: str, keep: Sequence[str], into: str = "_page", wanted: str | None = None) -> DataFrame:
-    """``keep`` and one nested column with what the page holds. Pages are parsed a few at a time, never held as a group.
-
-    Rows and cells are handed back for tables of the class ``wanted`` only, if one is given.
-    """
-    source = df.select(*keep, F.col(html).cast("string").alias(into))
-    schema = StructType.fromDDL(f"{into} {PARSED}")
-    target = StructType([*source.schema.fields[:-1], schema[0]])
+def read_pages(texts: pa.Array, kind: pa.DataType, wanted: Collection[str] | None = None) -> pa.Array:
+    """What each page holds as an Arrow struct: plain pages side by side, the others by ``read_page``, a few at a time."""
+    trees, left = read_plain(texts, kind, wanted)
+    others = np.flatnonzero(left)
+    if not others.size:
+        return trees
+    pieces = [trees]
+    for start in range(0, len(others), PAGES_AT_ONCE):
+        few = texts.take(pa.array(others[start : start + PAGES_AT_ONCE]))
+        pieces.append(_column([read_page(text.as_py(), wanted) for text in few], kind))
+    places = np.arange(len(texts))
+    places[others] = len(texts) + np.arange(len(others))
+    return pa.concat_arrays(pieces).take(pa.array(places))
+
+
+def _over_pages(df: DataFrame, html: str, keep: Sequence[str], found: str, wanted: Collection[str] | None, made: Callable) -> DataFrame:
+    """``keep`` and the columns ``found`` that ``made`` gives for some pages at a time, with the place of each row's page among them."""
+    source = df.select(*keep, F.col(html).cast("string").alias("_page"))
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = to_arrow_type(schema[0].dataType)
+    added = StructType.fromDDL(found)
+    target = StructType([*source.schema.fields[:-1], *added])
+    kind = to_arrow_type(StructType.fromDDL(f"_page {PARSED}")[0].dataType)
+    kinds = [to_arrow_type(field.dataType) for field in added]
+    names = target.names
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
-                few = batch.slice(start, PAGES_AT_ONCE)
-                trees = _column([read_page(text.as_py(), wanted) for text in few.column(few.num_columns - 1)], kind)
-                yield pa.RecordBatch.from_arrays([*few.columns[:-1], trees], names=few.schema.names)
+            for few in in_parts(batch, batch.num_columns - 1):
+                places, columns = made(read_pages(few.column(few.num_columns - 1), kind, wanted))
+                kept = few.columns[:-1] if places is None else [column.take(places) for column in few.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, *[c.cast(k) if c.type != k else c for c, k in zip(columns, kinds, strict=True)]], names=names)
 
     return source.mapInArrow(read, target)
 
 
+def parsed(df: DataFrame, html: str, keep: Sequence[str], into: str = "_page", wanted: Collection[str] | None = None) -> DataFrame:
+    """``keep`` and one nested column with what the page holds. Pages are parsed some at a time, never held as a group.
+
+    Rows and cells are handed back for tables of the classes ``wanted`` only, if any are given.
+    """
+    wanted = (wanted,) if isinstance(wanted, str) else wanted
+    return _over_pages(df, html, keep, f"{into} {PARSED}", wanted, lambda trees: (None, [trees]))
+
+
 def _tables_with(name: str) -> Column:
     return F.filter("_page.tables", lambda t: t["inside_div"] & F.array_contains(t["classes"], name))
 
 
 def _checked(df: DataFrame, html: str, keep: Sequence[str], name: str, minimum: int) -> DataFrame:
-    page = parsed(df, html, keep, wanted=name).select(*keep, F.col("_page.sides").alias("_sides"), _tables_with(name).alias("_tables"))
+    page = parsed(df, html, keep, wanted=[name]).select(*keep, F.col("_page.sides").alias("_sides"), _tables_with(name).alias("_tables"))
     reason = F.when(F.size("_sides") < 2, "no side names").when(F.size("_tables") < minimum, "too few tables")
     return page.withColumn("parse_error", reason)
 
@@ -358,51 +378,93 @@ def bowling_pages(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     return _checked(df, html, keep, pages.BOWLING_TABLE, 4)
 
 
-def _score_rows(page: DataFrame, keep: Sequence[str], pick: Sequence[tuple[int, int]], cells: int) -> DataFrame:
-    """Full rows of the chosen (table, side) pairs, numbered through the page and inside their innings."""
+def _bounds(lists: pa.Array) -> np.ndarray:
+    return lists.offsets.to_numpy().astype(np.int64)
 
-    def innings(table: int, side: int) -> Column:
-        full = F.filter(F.get("_tables", F.lit(table))["rows"], lambda r: F.size(r["cells"]) >= cells)
-        name = F.get("_sides", F.lit(side))
-        return F.transform(full, lambda r, i: F.struct(name.alias("side"), (i + 1).alias("place"), r["cells"].alias("cells")))
 
-    title = F.concat_ws(" Vs ", F.get("_sides", F.lit(0)), F.get("_sides", F.lit(1)))
-    rows = F.concat(*[innings(table, side) for table, side in pick])
-    listed = page.where("parse_error IS NULL").select(*keep, title.alias("match"), F.posexplode(rows).alias("_seq", "_row"))
-    return listed.select(*keep, F.col("_seq").cast("long").alias("ingest_seq"), "match", "_row.*")
+def _full_rows(trees: pa.StructArray, name: str, minimum: int, pick: Sequence[tuple[int, int]], cells: int, spans: int, fields: Sequence[int]) -> dict:
+    """Full rows of the chosen (table, side) pairs of usable pages, as flat columns: the page's place, the row's number in
+    its page and in its innings, the title, the side, the player and the link of the first cell, the texts of ``fields``.
+    """
+    sides, tables = trees.field("sides"), trees.field("tables")
+    sides_at, tables_at, every = _bounds(sides), _bounds(tables), tables.values
+    classes = every.field("classes")
+    own = np.repeat(np.arange(len(every)), np.diff(_bounds(classes)))
+    named = np.bincount(own[pc.equal(classes.values, name).to_numpy(zero_copy_only=False)], minlength=len(every)) > 0
+    listed = np.flatnonzero(named & every.field("inside_div").to_numpy(zero_copy_only=False))
+    first = np.searchsorted(listed, tables_at)
+    usable = np.flatnonzero((np.diff(sides_at) >= 2) & (np.diff(first) >= minimum))
+    chosen = np.stack([listed[first[usable] + table] for table, _ in pick], 1).ravel()
+    side = np.stack([sides_at[usable] + number for _, number in pick], 1).ravel()
+    rows_of, rows_at = every.field("rows"), _bounds(every.field("rows"))
+    many = rows_at[chosen + 1] - rows_at[chosen]
+    row = np.repeat(rows_at[chosen] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    innings = np.repeat(np.arange(len(chosen)), many)
+    cells_of = rows_of.values.field("cells")
+    cells_at = _bounds(cells_of)
+    full = cells_at[row + 1] - cells_at[row] >= cells
+    innings, cell, page = innings[full], cells_at[row[full]], innings[full] // len(pick)
+    number = np.arange(len(cell))
+    text, link, inner = (cells_of.values.field(part) for part in ("text", "link", "spans"))
+    inner_at = _bounds(inner)
+    span = inner_at[cell] + spans - 1
+    title = pc.binary_join_element_wise(sides.values.take(sides_at[usable]), sides.values.take(sides_at[usable] + 1), " Vs ")
+    return {
+        "page": pa.array(usable[page]),
+        "seq": pa.array(number - np.searchsorted(page, page)),
+        "match": title.take(pa.array(page)),
+        "side": sides.values.take(pa.array(side[innings])),
+        "place": pa.array(number - np.searchsorted(innings, innings) + 1),
+        "player": inner.values.take(pa.array(span, mask=span >= inner_at[cell + 1])),
+        "target": link.take(pa.array(cell)),
+        "texts": [text.take(pa.array(cell + at)) for at in fields],
+    }
 
 
-def _fields(numbers: dict[str, int]) -> list[Column]:
-    return [F.get("cells", F.lit(i))["text"].alias(name) for name, i in numbers.items()]
+def _score_rows(
+    df: DataFrame, html: str, keep: Sequence[str], name: str, minimum: int, pick: Sequence[tuple[int, int]], cells: int, spans: int, fields: dict[str, int]
+) -> DataFrame:
+    """Full rows of the chosen (table, side) pairs, numbered through the page and inside their innings."""
+    numbers = [*fields.values()]
 
+    def made(trees: pa.StructArray) -> tuple[pa.Array, list[pa.Array]]:
+        found = _full_rows(trees, name, minimum, pick, cells, spans, numbers)
+        return found["page"], [*[found[part] for part in ("seq", "match", "side", "place", "player")], *found["texts"]]
 
-def _player(spans: int) -> Column:
-    """Name in the first cell's link: inside two spans in batting tables, inside one in bowling tables."""
-    return scrub(F.get(F.get("cells", F.lit(0))["spans"], F.lit(spans - 1)), [pages.NO_BREAK_SPACE])
+    texts = ", ".join(f"`_{n}` string" for n in range(len(fields)))
+    found = _over_pages(df, html, keep, f"_seq long, _match string, _side string, _place int, _player string, {texts}", [name], made)
+    player = scrub(F.col("_player"), [pages.NO_BREAK_SPACE])
+    columns = [F.col("_seq").alias("ingest_seq"), F.col("_match").alias("match"), "_side", "_place", player.alias("_player")]
+    return found.select(*keep, *columns, *[F.col(f"_{n}").alias(field) for n, field in enumerate(fields)])
 
 
 def batting_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
-    """Like ``pages.batting_records``, with ``ingest_seq`` counting the rows of a page without gaps."""
-    name = _player(2)
-    return _score_rows(batting_pages(df, html, keep), keep, [(0, 0), (1, 1)], 8).select(
-        *keep, "ingest_seq", "match", F.col("side").alias("teamInnings"), F.col("place").cast("string").alias("battingPos"),
-        name.alias("batsmanName"), *_fields(pages.BATTING_CELLS), F.when(name.isNull(), "no player name").alias("parse_error"),
+    """Like ``pages.batting_records``, with ``ingest_seq`` counting the rows of a page without gaps.
+
+    The name stands in the first cell's link: inside two spans here, inside one in bowling tables.
+    """
+    return _score_rows(df, html, keep, pages.BATTING_TABLE, 2, BATTING_PICK, 8, 2, pages.BATTING_CELLS).select(
+        *keep, "ingest_seq", "match", F.col("_side").alias("teamInnings"), F.col("_place").cast("string").alias("battingPos"),
+        F.col("_player").alias("batsmanName"), *pages.BATTING_CELLS, F.when(F.col("_player").isNull(), "no player name").alias("parse_error"),
     )
 
 
 def bowling_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
-    name = _player(1)
-    return _score_rows(bowling_pages(df, html, keep), keep, [(1, 1), (3, 0)], 11).select(
-        *keep, "ingest_seq", "match", F.col("side").alias("bowlingTeam"), name.alias("bowlerName"),
-        *_fields(pages.BOWLING_CELLS), F.when(name.isNull(), "no player name").alias("parse_error"),
+    return _score_rows(df, html, keep, pages.BOWLING_TABLE, 4, BOWLING_PICK, 11, 1, pages.BOWLING_CELLS).select(
+        *keep, "ingest_seq", "match", F.col("_side").alias("bowlingTeam"), F.col("_player").alias("bowlerName"),
+        *pages.BOWLING_CELLS, F.when(F.col("_player").isNull(), "no player name").alias("parse_error"),
     )
 
 
+def _fields(numbers: dict[str, int]) -> list[Column]:
+    return [F.get("cells", F.lit(i))["text"].alias(name) for name, i in numbers.items()]
+
+
 def result_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """Rows of the results tables as seven text fields, with the link in the last of them."""
     listed = F.filter("_page.tables", lambda t: F.array_contains(t["classes"], pages.RESULTS_TABLE))
     rows = F.flatten(F.transform(listed, lambda t: F.filter(t["rows"], lambda r: F.array_contains(r["classes"], pages.RESULTS_ROW))))
-    every = parsed(df, html, keep, wanted=pages.RESULTS_TABLE).select(*keep, F.posexplode(rows).alias("_seq", "_row"))
+    every = parsed(df, html, keep, wanted=[pages.RESULTS_TABLE]).select(*keep, F.posexplode(rows).alias("_seq", "_row"))
     full = every.select(*keep, F.col("_seq").cast("long").alias("ingest_seq"), F.col("_row.cells").alias("cells"))
     link = F.get("cells", F.lit(pages.RESULT_CELLS["scorecard"]))["link"].alias("link")
     return full.where(F.size("cells") >= len(pages.RESULT_CELLS)).select(*keep, "ingest_seq", *_fields(pages.RESULT_CELLS), link)
@@ -410,25 +472,15 @@ def result_records(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
 
 def player_links(df: DataFrame, html: str, site: str) -> DataFrame:
     """Distinct (name, team, link) over the batting and the bowling tables; each page is parsed once for both."""
-    page = parsed(df, html, [])
-
-    def people(name: str, minimum: int, table: int, side: int, spans: int, cells: int) -> Column:
-        listed = _tables_with(name)
-        full = F.filter(F.get(listed, F.lit(table))["rows"], lambda r: F.size(r["cells"]) >= cells)
-
-        def person(row: Column) -> Column:
-            first = F.get(row["cells"], F.lit(0))
-            who = scrub(F.get(first["spans"], F.lit(spans - 1)), [pages.NO_BREAK_SPACE])
-            return F.struct(who.alias("name"), F.get("_page.sides", F.lit(side)).alias("team"), first["link"].alias("target"))
 
-        usable = (F.size("_page.sides") >= 2) & (F.size(listed) >= minimum)
-        none = F.array().cast("array<struct<name:string,team:string,target:string>>")
-        return F.coalesce(F.when(usable, F.transform(full, person)), none)
+    def made(trees: pa.StructArray) -> tuple[pa.Array, list[pa.Array]]:
+        batting = _full_rows(trees, pages.BATTING_TABLE, 2, BATTING_PICK, 8, 2, [])
+        bowling = _full_rows(trees, pages.BOWLING_TABLE, 4, BOWLING_PICK, 11, 1, [])
+        both = {part: pa.concat_arrays([batting[part], bowling[part]]) for part in ("page", "player", "side", "target")}
+        return both.pop("page"), [*both.values()]
 
-    batting = [people(pages.BATTING_TABLE, 2, table, side, 2, 8) for table, side in ((0, 0), (1, 1))]
-    bowling = [people(pages.BOWLING_TABLE, 4, table, side, 1, 11) for table, side in ((1, 1), (3, 0))]
-    found = [*batting, *bowling]
-    rows = page.select(F.inline(F.concat(*found))).where("name IS NOT NULL AND length(target) > 0")
+    people = _over_pages(df, html, [], "name string, team string, target string", [pages.BATTING_TABLE, pages.BOWLING_TABLE], made)
+    rows = people.withColumn("name", scrub(F.col("name"), [pages.NO_BREAK_SPACE])).where("name IS NOT NULL AND length(target) > 0")
     return rows.select("name", "team", F.concat(F.lit(site), "target").alias("link")).distinct()
 
 
