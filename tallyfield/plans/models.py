@@ -154,6 +154,8 @@ def fit_linear(train: DataFrame, features: Sequence[str] = FEATURES, label: str
         standardization=False, maxIter=LINEAR_ITERATIONS,
     )
     fitted = classifier.fit(assembler.transform(scaler.transform(train)))
+    # The training summary holds the session, which no task can take along.
+    fitted._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
     return PipelineModel([scaler, assembler, fitted])
 
 
